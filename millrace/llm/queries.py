@@ -10,10 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, quality_rules
+from millrace.llm import exact_dedup, quality_rules, simhash_dedup
 from millrace.llm.common import read
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_groups(read(spark, sf_dir, "documents"), shingle=3, max_bits=2, seed=42)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ FROM failed
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -1,0 +1,229 @@
+"""SimHash near-duplicates through a Gray-ordered hierarchical index.
+
+Fingerprints of all documents are reduced to distinct ones, so copies cost nothing further. Two
+fingerprints that differ in at most d bits agree on one of d + 1 parts of the word, and in the rest on
+one of d + 1 parts again; each fingerprint therefore goes to (d + 1)^2 blocks that fix over half of its
+bits, and every link shows in a block. In a block, fingerprints are sorted by Gray rank; runs of them
+become nodes that hold the bits all share, upper nodes take over what their children share, and a
+search walks down adding differences, so that a node whose sum exceeds d drops its whole subtree.
+
+A block beyond BLOCK_ROWS (fingerprints that agree on those bits, such as a huge group of near copies)
+leaves the index for an exact exchange: every member visits all words within d/2 bits of it, and two
+members link if they meet; no meeting holds more than a ball's worth of distinct fingerprints.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from millrace.llm.common import checkpointed, slices, texts
+from millrace.llm.components import components
+
+BLOCK_ROWS = 4096
+FANOUT = 8
+#: rows that a task searches at once, and searches in flight
+CHUNK_ROWS, SEARCHES = 1 << 17, 2048
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64 bits: bit set where more than half of the shingles' XXH64 have it; zero without words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
+    stops = ends[-n:].tolist()
+    digest = xxhash.xxh64_digest
+    packed = b"".join([digest(joined[i:j], seed) for i, j in zip(starts, stops, strict=True)])
+    hashes = np.frombuffer(packed, np.uint8).reshape(n, 8)
+    ones = np.zeros(64, np.int64)
+    for at in range(0, n, 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fp long) of (doc_id, text); fp holds the 64 bits as a signed long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["doc_id", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long")
+
+
+def gray_rank(words: np.ndarray) -> np.ndarray:
+    rank = words.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return rank
+
+
+def part_masks(max_bits: int) -> list[int]:
+    """Masks of the (d + 1)^2 keys: one part of the word plus one part of the rest."""
+    cut = lambda bits, k: [bits[len(bits) * i // k : len(bits) * (i + 1) // k] for i in range(k)]
+    k, out = max_bits + 1, []
+    for outer in cut(list(range(64)), k):
+        rest = [b for b in range(64) if b not in set(outer)]
+        out += [sum(1 << b for b in [*outer, *inner]) for inner in cut(rest, k)]
+    return out
+
+
+class GrayIndex:
+    """The hierarchy over blocks of fingerprints that are sorted by (block, Gray rank)."""
+
+    def __init__(self, block: np.ndarray, words: np.ndarray):
+        self.words, first = words, np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+        low, high, level_first = words, words, first
+        size = len(words)
+        self.levels = []  # from the leaves' parents up: (child range starts, ends, shared mask, shared bits)
+        while True:
+            sizes = np.diff(level_first, append=size)
+            nodes = -(-sizes // FANOUT)
+            node_first = np.concatenate(([0], np.cumsum(nodes)[:-1]))
+            inside = np.arange(nodes.sum()) - np.repeat(node_first, nodes)
+            starts = np.repeat(level_first, nodes) + inside * FANOUT
+            ends = np.minimum(starts + FANOUT, np.repeat(level_first + sizes, nodes))
+            low, high = np.bitwise_and.reduceat(low, starts), np.bitwise_or.reduceat(high, starts)
+            shared = ~(low ^ high)
+            self.levels.append((starts, ends, shared, low & shared))
+            level_first, size = node_first, len(starts)
+            if (nodes == 1).all():
+                break
+        self.root_of = np.repeat(np.arange(len(first)), np.diff(first, append=len(words)))
+        span = np.arange(len(words))
+        self.last = []  # the largest leaf below each node, to look only at later leaves
+        for starts, ends, _, _ in self.levels:
+            span = span[ends - 1]
+            self.last.append(span)
+
+    def links(self, queries: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, later leaf) of one block that differ in at most max_bits bits."""
+        q, node = queries, self.root_of[queries]
+        _, _, shared, bits = self.levels[-1]
+        acc = np.bitwise_count((self.words[q] ^ bits[node]) & shared[node]).astype(np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            starts, ends, above, _ = self.levels[level]
+            many = ends[node] - starts[node]
+            child = np.repeat(starts[node] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            q, acc, parent = np.repeat(q, many), np.repeat(acc, many), np.repeat(node, many)
+            if level:
+                mask, bits, last = self.levels[level - 1][2], self.levels[level - 1][3], self.last[level - 1]
+                own, value, later = mask[child] & ~above[parent], bits[child], last[child] > q
+            else:
+                own, value, later = ~above[parent], self.words[child], child > q
+            acc = acc + np.bitwise_count((self.words[q] ^ value) & own)
+            keep = (acc <= max_bits) & later
+            q, node, acc = q[keep], child[keep], acc[keep]
+        return q, node
+
+
+def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Union by minimum with pointer jumping."""
+    while True:
+        ra, rb = root[a], root[b]
+        if (ra == rb).all():
+            return root
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (root != (up := root[root])).any():
+            root = up
+
+
+def block_stars(keys: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside blocks as stars: (word, smallest word of its local component)."""
+    order = np.lexsort((gray_rank(words), keys))
+    keys, words = keys[order], words[order]
+    index = GrayIndex(keys, words)
+    root = np.arange(len(words))
+    for at in range(0, len(words), SEARCHES):
+        a, b = index.links(np.arange(at, min(at + SEARCHES, len(words))), max_bits)
+        root = _join_up(root, a, b)
+    moved = np.flatnonzero(root != np.arange(len(words)))
+    return words[moved], words[root[moved]]
+
+
+def _search(max_bits: int, block_rows: int):
+    """Streams rows sorted by key. Out: (a, b) links; b null marks a member of a block beyond the bound."""
+
+    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], ["a", "b"])
+
+    def flush(keys: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        size = counts[inverse]
+        if (big := size > block_rows).any():
+            yield out(words[big], None)
+        if (some := (size > 1) & ~big).any():
+            a, b = block_stars(keys[some], words[some], max_bits)
+            if len(a):
+                yield out(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_k, held_w = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        hot = None
+        for batch in batches:
+            k, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if hot is not None:  # the rest of a block that is already known to be large
+                more = k == hot
+                if more.any():
+                    yield out(w[more], None)
+                k, w = k[~more], w[~more]
+                if not len(k):
+                    continue
+                hot = None
+            held_k, held_w = np.concatenate((held_k, k)), np.concatenate((held_w, w))
+            if len(held_k) < CHUNK_ROWS:
+                continue
+            open_ = held_k == held_k[-1]
+            yield from flush(held_k[~open_], held_w[~open_])
+            held_k, held_w = held_k[open_], held_w[open_]
+            if len(held_k) > block_rows:
+                hot = int(held_k[-1])
+                yield out(held_w, None)
+                held_k, held_w = held_k[:0], held_w[:0]
+        if len(held_k):
+            yield from flush(held_k, held_w)
+
+    return run
+
+
+def fingerprint_links(words: DataFrame, max_bits: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links that connect all of the distinct words (fp long) which differ in at most max_bits bits, an even number."""
+    if max_bits % 2 or max_bits < 0:
+        raise ValueError("max_bits must be even")
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(part_masks(max_bits))])
+    dealt = words.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
+    found = checkpointed(dealt.mapInArrow(_search(max_bits, block_rows), "a long, b long"))
+    ball = [sum(1 << b for b in c) for r in range(max_bits // 2 + 1) for c in combinations(range(64), r)]
+    flips = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball])
+    large = found.where("b is null").select("a").distinct()
+    meet = large.select("a", F.explode(flips).alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("at"))
+    met = meet.groupBy("at").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)
+    exact = met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
+    return found.where("b is not null").unionByName(exact)
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id) for every row.
+
+    component_id is the smallest doc_id reachable over links, itself included. Null and empty texts
+    have fingerprint zero and link like any other; fewer words than a shingle make one shingle.
+    Repeated rows repeat in the result. Null ids take part and are never the smallest. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    prints = checkpointed(fingerprints(texts(docs, id_col, text_col), shingle, seed))
+    words = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    joined = components(fingerprint_links(words.select("fp"), max_bits, block_rows))
+    rooted = words.join(joined, words["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_word = rooted.join(smallest, "root").select("fp", "component_id")
+    return prints.join(of_word, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
