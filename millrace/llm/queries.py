@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import exact_dedup, quality_rules, simhash_dedup
+from millrace.llm import best_fit_packing, exact_dedup, quality_rules, simhash_dedup
 from millrace.llm.common import read
 
 
@@ -30,6 +31,17 @@ FROM d
 """
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Op 8 over any documents; digests are taken where the ids are, so that ids need no shuffle."""
+    pieces = best_fit_packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return best_fit_packing.pack(slim, docs.count(), capacity=4096)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -65,6 +77,7 @@ FROM failed
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
