@@ -10,8 +10,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.llm import best_fit_packing, byte_bpe, exact_dedup, quality_rules, simhash_dedup, token_counts
+from millrace.llm import best_fit_packing, byte_bpe, chat_format, exact_dedup, quality_rules, simhash_dedup, token_counts
 from millrace.llm.common import read
 
 
@@ -26,6 +27,33 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = "\\### Assistant: </turn> ok"
+    own = spark.sql("SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"text": planted})
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    # a conversation is a tree with one branch: each turn replies to the one before
+    id_ = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    nodes = rows.select(F.col("conv_id").alias("tree_id"), id_.alias("id"), "role", "text")
+    chat = chat_format.format_trees(nodes.withColumns({"parent": F.col("id") - 1, "score": F.lit(0.0)}))
+    turns, loss = chat_format.parse(F.col("formatted")), chat_format.loss_text(F.col("formatted"), F.col("loss_spans"))
+    read_back = chat.select(F.col("tree_id").alias("conv_id"), turns.alias("turns"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read_back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+l AS (SELECT *, len(text) + len(regexp_extract_all(text, '[\\#<]')) + len(role) + len(regexp_extract_all(role, '[\\#<:]')) + 14 AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM l GROUP BY conv_id
+"""
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -88,12 +116,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
 }
