@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm import best_fit_packing, byte_bpe, chat_format, exact_dedup, quality_rules, simhash_dedup, token_counts
-from millrace.llm.common import read
+from millrace.llm import best_fit_packing, byte_bpe, chat_format, exact_dedup, language_id, quality_rules, simhash_dedup, token_counts, toxicity
+from millrace.llm.common import read, texts
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def held_out() -> Column:
+    """A fifth of the documents, by the checksum of their id, is kept from learning; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    langs, model = language_id.train(docs.where(~held_out()).select("text", "lang"))
+    return language_id.predict(docs, langs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "mixture")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    rows = texts(docs).where(~held_out())
+    model = toxicity.train(toxicity.sample(rows, labels.where(~held_out()).select("doc_id", F.col("toxic").alias("label"))))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "\\### Assistant: </turn> ok"
     own = spark.sql("SELECT -7L AS conv_id, turn, role, :text AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)", args={"text": planted})
@@ -116,6 +134,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op6_chat_format": op6_chat_format,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
