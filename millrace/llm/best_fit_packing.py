@@ -11,7 +11,9 @@ sequences and leaves at most a few of them slack, so sharding costs next to noth
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,32 +25,80 @@ from pyspark.sql import types as T
 from millrace.llm.common import slices, texts
 
 SHARD_DOCS = 50_000
-#: words whose ids a worker remembers; the memory is emptied when full
-MEMORY_WORDS = 300_000
+#: words and stems whose ids a worker remembers; a memory is emptied when full
+WORDS, STEMS = 600_000, 600_000
+
+
+TAILS = b".,;:!?"
+#: words of ASCII and Latin-1 letters, in UTF-8
+LETTERS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 class WordTokenizer:
-    """A tokenizer whose tokens never cross ASCII white space: words are encoded once and remembered."""
+    """A lower-casing tokenizer whose tokens never cross ASCII white space or run from a letter into punctuation.
+
+    Words are encoded once and remembered; in them, closing punctuation and capitals are taken off first.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # of the tokens that end a word
+        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+
+    def parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """(stem, closing punctuation); a word with special strings or without a letter before the punctuation stays whole."""
+        if b"<|" in word:
+            return word, b""
+        word = word.lower()
+        stem = word.rstrip(TAILS)
+        return (stem, word[len(stem) :]) if stem[-1:].isalpha() else (word, b"")
+
+    def learn(self, words: list[bytes]) -> None:
+        split = [self.parts(w) for w in words]
+        stems = self.stems
+        if new := [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in stems]:
+            if len(stems) + len(new) > STEMS:
+                stems.clear()
+                new = list(dict.fromkeys(x for pair in split for x in pair if x))
+            stems.update(self.coded(new))
+        for word, (stem, tail) in zip(words, split, strict=True):
+            self.known[word] = stems[stem] + stems[tail] if tail else stems[stem]
+
+    def coded(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Stems with their ids. Those of plain letters are single words to the tokenizer, so one text of them is encoded and split at word ends."""
+        plain, others = [], []
+        for stem in stems:
+            (plain if LETTERS.fullmatch(stem) else others).append(stem)
+        if plain:
+            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from zip(plain, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True)
+        if others:
+            for stem, coded in zip(others, self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False), strict=True):
+                yield stem, np.array(coded.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = text.encode("utf-8", "replace").split()
         known = self.known
         if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > MEMORY_WORDS:
+            if len(known) + len(new) > WORDS:
                 known.clear()
                 new = list(dict.fromkeys(words))
-            for word, coded in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(coded.ids, "<u4").tobytes()
+            self.learn(new)
         return b"".join([known[w] for w in words])
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids): a document's ids, then end_id, cut at every ``capacity`` tokens.
 
@@ -57,7 +107,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, step = WordTokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, end, step = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in slices(batches):
             ids, piece, start, length, code = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
