@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, held
+
+FILE_NODES = 500_000
 
 OPEN, CLOSE = "### ", "</turn>\n"
 
@@ -57,14 +59,16 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (tree_id, id, up) for distances 1, 2, 4, ..., and per node its distance n to the top and the score sum s of its path."""
     there = nodes.select(F.col("tree_id").alias("t"), F.col("id").alias("p"))
     at = nodes.join(there, _on(nodes, there, "parent", "p"), "left").select("tree_id", "id", F.col("p").alias("up"), F.lit(1).cast("long").alias("n"), "s")
-    at = checkpointed(at)
+    at = held(at)
     total, tables = at.count(), []
     for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
         if at.where("up is not null").isEmpty():
             break
         tables.append(at.select("tree_id", "id", "up"))
         above = at.select(F.col("tree_id").alias("t"), F.col("id").alias("p"), F.col("up").alias("up2"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-        at = checkpointed(at.join(above, _on(at, above, "up", "p"), "left").select("tree_id", "id", F.col("up2").alias("up"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s")))
+        further = at.where("up is not null")
+        moved = further.join(above, _on(further, above, "up", "p")).select("tree_id", "id", F.col("up2").alias("up"), (F.col("n") + F.col("n2")).alias("n"), (F.col("s") + F.col("s2")).alias("s"))
+        at = checkpointed(at.where("up is null").unionByName(moved), files=-(-total // FILE_NODES))
     return tables, at.where("up is null").select("tree_id", "id", "n", "s")
 
 
@@ -78,7 +82,7 @@ def reply_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     is a tree like others, a null score counts as zero.
     """
     m = messages.where("id is not null").groupBy("tree_id", "id").agg(F.min("parent").alias("parent"), F.max(F.coalesce(F.col("score"), F.lit(0.0)).cast("double")).alias("s"))
-    m = checkpointed(m)
+    m = held(m)
     tables, top = _jumps(m)
     inner = m.where("parent is not null").select(F.col("tree_id").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = top.join(inner, _on(top, inner, "id", "p"), "left_anti")
@@ -86,11 +90,13 @@ def reply_paths(messages: DataFrame, keep: int | None = None) -> DataFrame:
     ranked = leaves.select("tree_id", F.col("id").alias("leaf"), "n", (F.col("s") / F.col("n")).alias("score")).withColumn("rank", F.row_number().over(order))
     if keep is not None:
         ranked = ranked.where(F.col("rank") <= keep)
-    path = ranked.withColumns({"id": F.col("leaf"), "off": F.lit(0).cast("long")})
+    files = -(-m.count() // FILE_NODES)
+    path = checkpointed(ranked.withColumns({"id": F.col("leaf"), "off": F.lit(0).cast("long")}), files)
     for k in range(len(tables) - 1, -1, -1):
         jump = tables[k].where("up is not null").select(F.col("tree_id").alias("t"), F.col("id").alias("p"), "up")
-        both = F.when(F.col("up").isNull(), F.array(F.struct("id", "off"))).otherwise(F.array(F.struct("id", "off"), F.struct(F.col("up").alias("id"), (F.col("off") + (1 << k)).alias("off"))))
-        path = path.join(jump, _on(path, jump, "id", "p"), "left").select("tree_id", "leaf", "n", "score", "rank", F.explode(both).alias("x")).select("tree_id", "leaf", "n", "score", "rank", "x.id", "x.off")
+        further = path.where(F.col("n") - F.col("off") > (1 << k))
+        above = further.join(jump, _on(further, jump, "id", "p")).select("tree_id", "leaf", "n", "score", "rank", F.col("up").alias("id"), (F.col("off") + (1 << k)).alias("off"))
+        path = checkpointed(path.unionByName(above), files)
     return path.select("tree_id", "leaf", "rank", "score", (F.col("n") - 1 - F.col("off")).alias("pos"), "id")
 
 
