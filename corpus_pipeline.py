@@ -1,8 +1,67 @@
-"""Corpus pipeline; stages are added as their operators are ready."""
+"""From raw documents to packed sequences: quality rules, exact and near deduplication, repeated passages, packing.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import exact_dedup, quality_rules, simhash_dedup, suffix_dedup
+from millrace.llm.common import ascii_lower, bounded, ensure_checkpoint_dir, held, read
+from millrace.llm.queries import packed
+
+
+def _with_size(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")).select(columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    return _with_size(quality_rules.clean(docs), docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    dropped = held(exact_dedup.exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct())
+    gone = bounded(dropped, dropped.count(), 96)
+    own = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (own == gone["sha"]), "left_anti")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near-duplicates (five-word shingles, Jaccard similarity 0.8) the one with the smallest doc_id."""
+    dropped = held(simhash_dedup.near_duplicates(docs, shingle=5, similarity=0.8).where("doc_id <> component_id").select("doc_id"))
+    return docs.join(bounded(dropped, dropped.count(), 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat an earlier string of 100 bytes; no character is cut."""
+    done = suffix_dedup.remove_repeats(docs, whole_chars=True, carry=tuple(c for c in docs.columns if c != "text"))
+    return _with_size(done.withColumn("text", F.decode("kept", "UTF-8")), docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    return packed(docs)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("suffix_array_dedup", passages), ("best_fit_packing", packing)]
+
+#: tokens and suffix arrays are beyond SQL; the tests hold the stages against brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

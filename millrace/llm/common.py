@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,9 +38,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Lineage cut by reliable checkpoint, in at most ``files`` files."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if files is None else df.coalesce(max(1, files))).checkpoint(eager=True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Kept for reuse in memory or on executors' disks; what a lost executor held is computed anew from its lineage."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+#: what is broadcast is counted first, and at most this large; beyond it a sort-merge join takes over
+BROADCAST_BYTES = 32 << 20
+
+
+def bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if ``rows`` rows (counted) of ``row_bytes`` fit the bound."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed
+from millrace.llm.common import checkpointed, held
+
+FILE_EDGES = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,10 +33,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a long, b long); the root is the component's smallest node, itself included."""
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = held(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _state(edges)
     while before[0]:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        edges = checkpointed(_small_star(_large_star(edges)), files=-(-before[0] // FILE_EDGES))
         after = _state(edges)
         if after == before:
             break

@@ -23,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, checkpointed, shuffle_partitions, texts
+from millrace.llm.common import ascii_lower, bounded, held, shuffle_partitions, texts
 
 BLOCK_BITS = 17
 #: hashes that one owner handles at once
 OWNER_ROWS = 4_000_000
-#: ids or groups are broadcast up to this many bytes, counted beforehand; beyond it a sort-merge join takes over
-BROADCAST_BYTES = 32 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -69,8 +67,8 @@ def _send(owners: int, bits: int):
     edges = _ranges(owners, bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def coded(src: int, held: list[np.ndarray]) -> pa.RecordBatch:
-            values = np.unique(np.concatenate(held))
+        def coded(src: int, own: list[np.ndarray]) -> pa.RecordBatch:
+            values = np.unique(np.concatenate(own))
             cut = np.searchsorted(values, edges)
             to = [o for o in range(owners) if cut[o] < cut[o + 1]]
             ns = [int(cut[o + 1] - cut[o]) for o in to]
@@ -78,17 +76,17 @@ def _send(owners: int, bits: int):
             codes = [golomb_encode(values[cut[o] : cut[o + 1]], int(edges[o]), p) for o, p in zip(to, ps, strict=True)]
             return pa.record_batch([pa.array([src] * len(to), pa.int64()), pa.array(to, pa.int32()), pa.array(ns, pa.int32()), pa.array(ps, pa.int32()), pa.array(codes, pa.binary())], ["src", "owner", "n", "p", "code"])
 
-        src, held = None, []
+        src, own = None, []
         for batch in batches:
             blocks, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for block in pd.unique(blocks):  # a partition's blocks follow each other
                 if src is not None and block != src:
-                    yield coded(src, held)
-                    held = []
+                    yield coded(src, own)
+                    own = []
                 src = int(block)
-                held.append(values[blocks == block])
+                own.append(values[blocks == block])
         if src is not None:
-            yield coded(src, held)
+            yield coded(src, own)
 
     return send
 
@@ -120,7 +118,7 @@ def fingerprint_suspects(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     norm = ascii_lower(F.col("text"))
     side = docs.select(F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("src"), "doc_id", F.xxhash64(norm).alias("h"), F.unhex(F.sha2(norm, 256)).alias("sha"))
-    side = checkpointed(side)
+    side = held(side)
     n = side.count()
     bits = min(60, math.ceil(math.log2(max(n, 2))) + 8)
     owners = max(1, min(shuffle_partitions(spark), n), n // OWNER_ROWS)
@@ -130,10 +128,6 @@ def fingerprint_suspects(docs: DataFrame) -> DataFrame:
     return side.select("src", "doc_id", "v", "sha").groupBy("src").cogroup(maps.groupBy("src")).applyInPandas(_mark, "doc_id long, sha binary, suspect boolean")
 
 
-def _bounded(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row.
 
@@ -143,16 +137,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Other columns are ignored whatever their names; an empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    marked = checkpointed(fingerprint_suspects(rows))
+    marked = held(fingerprint_suspects(rows))
     key = lambda c: F.coalesce(c, F.lit(NULL_ID))
     ids = marked.where("suspect").select(key(F.col("doc_id")).alias("key")).distinct()
     n = marked.where("suspect").count()
-    suspects = rows.join(_bounded(ids, n, 16), key(rows["doc_id"]) == ids["key"], "left_semi")
+    suspects = rows.join(bounded(ids, n, 16), key(rows["doc_id"]) == ids["key"], "left_semi")
     # equal bytes meet as keys of the aggregation; its map side combines copies
     classes = suspects.groupBy(ascii_lower(F.col("text")).alias("norm")).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     classes = classes.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
     one = F.when(F.count("*") > 1, F.raise_error(F.lit("two texts share one SHA-256"))).otherwise(F.max("group_size"))
     classes = classes.groupBy("sha").agg(F.max("keep_id").alias("keep_id"), one.alias("group_size"))
-    joined = marked.where("suspect").join(_bounded(classes, n, 72), "sha", "left").select("doc_id", "keep_id", "group_size", "sha")
+    joined = marked.where("suspect").join(bounded(classes, n, 72), "sha", "left").select("doc_id", "keep_id", "group_size", "sha")
     alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
     return joined.unionByName(alone).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))

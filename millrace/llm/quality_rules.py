@@ -71,11 +71,23 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     Null and empty texts have no words and fail the base rule. Rows are judged alone: repeated rows
     give repeated results, and other columns are ignored whatever their names.
     """
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    base = docs.select(docs[id_col].alias("doc_id"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+    return _judged(docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), "doc_id", rules)
+
+
+def clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The documents that are kept, with all their columns; their text is that of the lines that pass."""
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    judged = _judged(docs.select(row, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), "row", rules)
+    # a filter would be pushed below the counts and repeat them for every word; it isn't pushed through a generator
+    kept = judged.select(F.explode(F.array(F.struct("row", "clean_text", "kept"))).alias("x")).where("x.kept")
+    return kept.select(*[F.col("x.clean_text").alias(c) if c == text_col else F.col("x.row").getField(c).alias(c) for c in docs.columns])
+
+
+def _judged(rows: DataFrame, carried: str, rules: Rules) -> DataFrame:
+    base = rows.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split("text", "\n", -1), lambda x: word_chars(x) > 0)
     counted = base.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
+        carried, "text", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
         (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), rules.window).cast("long").alias("n_repeat_words"),

@@ -23,17 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, slices, texts
+from millrace.llm.common import bounded, held, slices, texts
 from millrace.llm.components import components
 
 BLOCK_ROWS = 4096
 FANOUT = 8
 #: rows that a task searches at once, and searches in flight
-CHUNK_ROWS, SEARCHES = 1 << 17, 2048
+CHUNK_ROWS, SEARCHES = 1 << 17, 256
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64 bits: bit set where more than half of the shingles' XXH64 have it; zero without words."""
+def fingerprint(text: str, shingle: int = 3, seed: int = 42, distinct: bool = False) -> int:
+    """Unsigned 64 bits: bit set where more than half of the (distinct) shingles' XXH64 have it; zero without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -42,7 +42,11 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_digest
-    packed = b"".join([digest(joined[i:j], seed) for i, j in zip(starts, stops, strict=True)])
+    grams = [joined[i:j] for i, j in zip(starts, stops, strict=True)]
+    if distinct:
+        grams = list(dict.fromkeys(grams))
+        n = len(grams)
+    packed = b"".join([digest(g, seed) for g in grams])
     hashes = np.frombuffer(packed, np.uint8).reshape(n, 8)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
@@ -138,20 +142,23 @@ def _join_up(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def block_stars(keys: np.ndarray, words: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside blocks as stars: (word, smallest word of its local component)."""
+def block_stars(keys: np.ndarray, words: np.ndarray, max_bits: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links inside blocks as stars: (word, first word of its local component), or if direct, (word, first word that it links to itself)."""
     order = np.lexsort((gray_rank(words), keys))
     keys, words = keys[order], words[order]
     index = GrayIndex(keys, words)
     root = np.arange(len(words))
     for at in range(0, len(words), SEARCHES):
         a, b = index.links(np.arange(at, min(at + SEARCHES, len(words))), max_bits)
-        root = _join_up(root, a, b)
+        if direct:
+            np.minimum.at(root, b, a)
+        else:
+            root = _join_up(root, a, b)
     moved = np.flatnonzero(root != np.arange(len(words)))
     return words[moved], words[root[moved]]
 
 
-def _search(max_bits: int, block_rows: int):
+def _search(max_bits: int, block_rows: int, direct: bool):
     """Streams rows sorted by key. Out: (a, b) links; b null marks a member of a block beyond the bound."""
 
     def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
@@ -163,12 +170,12 @@ def _search(max_bits: int, block_rows: int):
         if (big := size > block_rows).any():
             yield out(words[big], None)
         if (some := (size > 1) & ~big).any():
-            a, b = block_stars(keys[some], words[some], max_bits)
+            a, b = block_stars(keys[some], words[some], max_bits, direct)
             if len(a):
                 yield out(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_w = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        own_k, own_w = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         hot = None
         for batch in batches:
             k, w = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
@@ -180,29 +187,32 @@ def _search(max_bits: int, block_rows: int):
                 if not len(k):
                     continue
                 hot = None
-            held_k, held_w = np.concatenate((held_k, k)), np.concatenate((held_w, w))
-            if len(held_k) < CHUNK_ROWS:
+            own_k, own_w = np.concatenate((own_k, k)), np.concatenate((own_w, w))
+            if len(own_k) < CHUNK_ROWS:
                 continue
-            open_ = held_k == held_k[-1]
-            yield from flush(held_k[~open_], held_w[~open_])
-            held_k, held_w = held_k[open_], held_w[open_]
-            if len(held_k) > block_rows:
-                hot = int(held_k[-1])
-                yield out(held_w, None)
-                held_k, held_w = held_k[:0], held_w[:0]
-        if len(held_k):
-            yield from flush(held_k, held_w)
+            open_ = own_k == own_k[-1]
+            yield from flush(own_k[~open_], own_w[~open_])
+            own_k, own_w = own_k[open_], own_w[open_]
+            if len(own_k) > block_rows:
+                hot = int(own_k[-1])
+                yield out(own_w, None)
+                own_k, own_w = own_k[:0], own_w[:0]
+        if len(own_k):
+            yield from flush(own_k, own_w)
 
     return run
 
 
-def fingerprint_links(words: DataFrame, max_bits: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b): links that connect all of the distinct words (fp long) which differ in at most max_bits bits, an even number."""
+def fingerprint_links(words: DataFrame, max_bits: int = 2, block_rows: int = BLOCK_ROWS, direct: bool = False) -> DataFrame:
+    """(a, b): links that connect all of the distinct words (fp long) which differ in at most max_bits bits, an even number.
+
+    direct: every pair returned differs in at most max_bits itself; each block then names for every word the first one it links to.
+    """
     if max_bits % 2 or max_bits < 0:
         raise ValueError("max_bits must be even")
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(part_masks(max_bits))])
     dealt = words.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    found = checkpointed(dealt.mapInArrow(_search(max_bits, block_rows), "a long, b long"))
+    found = held(dealt.mapInArrow(_search(max_bits, block_rows, direct), "a long, b long"))
     ball = [sum(1 << b for b in c) for r in range(max_bits // 2 + 1) for c in combinations(range(64), r)]
     flips = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball])
     large = found.where("b is null").select("a").distinct()
@@ -220,10 +230,58 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Repeated rows repeat in the result. Null ids take part and are never the smallest. Other columns
     are ignored; an empty table gives an empty result.
     """
-    prints = checkpointed(fingerprints(texts(docs, id_col, text_col), shingle, seed))
+    prints = held(fingerprints(texts(docs, id_col, text_col), shingle, seed))
     words = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = components(fingerprint_links(words.select("fp"), max_bits, block_rows))
     rooted = words.join(joined, words["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_word = rooted.join(smallest, "root").select("fp", "component_id")
     return prints.join(of_word, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _similar(shingle: int, least: float):
+    """Keeps pairs (a, b, text_a, text_b) whose sets of word shingles have at least that Jaccard similarity."""
+
+    def shingles(text: str) -> set[bytes]:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return {xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = shingles(x), shingles(y)
+                keep.append(len(x & y) >= least * len(x | y))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """(doc_id, component_id) of documents that belong to a group of near-duplicates, the group's smallest doc_id included.
+
+    Candidates are pairs whose fingerprints over distinct words differ in at most max_bits bits for one
+    of the seeds; a pair is linked if its sets of word shingles have at least the given Jaccard
+    similarity. Documents without id belong to no group; texts without words are similar to each other.
+    """
+    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [[fingerprint(t, 1, seed, distinct=True) for seed in seeds] for t in batch.column(1).to_pylist()]
+            flat = np.array(found, np.uint64).reshape(-1).view(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), len(seeds))), pa.array(flat)], ["doc_id", "fp"])
+
+    prints = held(rows.mapInArrow(run, "doc_id long, fp long"))
+    first = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    links = fingerprint_links(first.select("fp"), max_bits, direct=True).distinct()
+    named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"doc_{side}"))
+    across = links.join(named("a"), "a").join(named("b"), "b").select("doc_a", "doc_b")
+    within = prints.join(first, "fp").select(F.col("doc_id").alias("doc_a"), F.col("first").alias("doc_b"))
+    pairs = held(across.unionByName(within).where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct())
+    n = pairs.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    told = rows.join(bounded(ids, 2 * n, 16), rows["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    of = lambda side: told.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+    checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
+    return components(checked).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

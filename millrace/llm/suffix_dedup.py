@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import held, shuffle_partitions
 
@@ -366,7 +367,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield repeated(again, 1)
 
 
-def _finish(whole_chars: bool):
+def _finish(whole_chars: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept = [], []
@@ -394,13 +395,13 @@ def _finish(whole_chars: bool):
                 np.add.at(gone, b, -1)
                 kept.append(data[np.cumsum(gone[:-1]) == 0].tobytes())
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(a, b, strict=True) if x < y])
-            yield pa.record_batch([batch.column(0), pa.array([len(t.as_buffer()) for t in batch.column(1)], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
+            yield pa.record_batch([*batch.columns[3:], pa.array([len(t.as_buffer()) for t in batch.column(1)], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_chars: bool = False, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary) for every row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_chars: bool = False, group_rows: int = GROUP_ROWS, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(the columns named in carry, n_bytes, spans array<struct<start, end>>, kept binary) for every row.
 
     Texts are UTF-8 bytes; null counts as empty. Strings are judged on the input, and matches never
     cross documents. Rows that repeat both id and text are one document: they get equal results and
@@ -410,15 +411,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     data = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(data).alias("tag"), data.cast("binary").alias("data"))
+    rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(data).alias("tag"), data.cast("binary").alias("data"), F.struct(*[docs[c] for c in carry]).alias("row"))
     total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     owners = max(shuffle_partitions(spark), -(-total // PARTITION_BYTES))
-    met = held(rows.mapInArrow(_anchor(owners), SCHEMA).repartition(owners, "key").mapInArrow(_meet(group_rows), SCHEMA))
+    met = held(rows.select("doc", "tag", "data").mapInArrow(_anchor(owners), SCHEMA).repartition(owners, "key").mapInArrow(_meet(group_rows), SCHEMA))
     dealt = rows.repartition(owners, "doc", "tag")
     wanted = met.where("kind in (2, 3)").groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("key").alias("h"), "kind", "at", "n")).alias("wanted"))
     cut = dealt.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "data", "wanted").mapInArrow(_cut(owners), SCHEMA)
     sorted_ = cut.repartition(owners, F.when(F.col("kind") == 4, F.col("off")).otherwise(F.col("key"))).sortWithinPartitions("key").mapInArrow(_sort, SCHEMA)
     found = met.where("kind = 1").unionByName(sorted_).groupBy("doc", "tag").agg(F.collect_list(F.shiftleft("at", 31).bitwiseOR(F.col("n"))).alias("found"))
-    out = dealt.join(found.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "data", "found")
-    out = out.mapInArrow(_finish(whole_chars), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    out = dealt.join(found.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "data", "found", "row.*")
+    schema = T.StructType([*out.schema.fields[3:], *T.StructType.fromDDL("n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields])
+    return out.mapInArrow(_finish(whole_chars, schema.names), schema)
