@@ -15,7 +15,6 @@ members link if they meet; no meeting holds more than a ball's worth of distinct
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -213,10 +212,10 @@ def fingerprint_links(words: DataFrame, max_bits: int = 2, block_rows: int = BLO
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)))) for i, m in enumerate(part_masks(max_bits))])
     dealt = words.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
     found = held(dealt.mapInArrow(_search(max_bits, block_rows, direct), "a long, b long"))
-    ball = [sum(1 << b for b in c) for r in range(max_bits // 2 + 1) for c in combinations(range(64), r)]
-    flips = F.array(*[F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in ball])
-    large = found.where("b is null").select("a").distinct()
-    meet = large.select("a", F.explode(flips).alias("flip")).select("a", F.col("a").bitwiseXOR(F.col("flip")).alias("at"))
+    meet = found.where("b is null").select("a").distinct().withColumn("at", F.col("a"))
+    for _ in range(max_bits // 2):  # the word itself and the words one bit away, again and again
+        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+        meet = meet.select("a", F.explode(F.concat(F.array("at"), F.transform(flips, lambda x: F.col("at").bitwiseXOR(x)))).alias("at"))
     met = meet.groupBy("at").agg(F.collect_set("a").alias("all")).where(F.size("all") > 1)
     exact = met.select(F.explode("all").alias("a"), F.array_min("all").alias("b")).where("a <> b")
     return found.where("b is not null").unionByName(exact)

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from millrace.llm.common import held, shuffle_partitions
 
-LENGTH, K = 100, 24
+LENGTH, K = 100, 40
 SPAN = LENGTH - K + 1  # K-grams in a window
 BLOCK = 1 << 18  # windows of a document that are treated at once
 FLUSH_ROWS = 600_000
@@ -64,13 +64,15 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all K-grams, by doubling their length: 2, 4, 8, 16, then 16 + 8."""
-    grams, by = codes, {}
-    for d in (1, 2, 4, 8):
+    """Hashes of all K-grams, put together from those of lengths that are powers of two."""
+    n, at, out, grams, d = len(codes) - K + 1, 0, np.zeros(len(codes) - K + 1, np.uint64), codes, 1
+    while d <= K:
+        if K & d:
+            out = out * M1 + grams[at : at + n]
+            at += d
         grams = grams[:-d] * M1 + (grams[d:] ^ (grams[d:] >> np.uint64(31))) * M2
-        by[2 * d] = grams
-    n = len(codes) - K + 1
-    return mixed(by[16][:n] * M1 + by[8][16 : 16 + n] * M2)
+        d *= 2
+    return mixed(out)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -417,7 +419,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = held(rows.select("doc", "tag", "data").mapInArrow(_anchor(owners), SCHEMA).repartition(owners, "key").mapInArrow(_meet(group_rows), SCHEMA))
     dealt = rows.repartition(owners, "doc", "tag")
     wanted = met.where("kind in (2, 3)").groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("key").alias("h"), "kind", "at", "n")).alias("wanted"))
-    cut = dealt.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "data", "wanted").mapInArrow(_cut(owners), SCHEMA)
+    cut = dealt.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "data", "wanted", "row").mapInArrow(_cut(owners), SCHEMA)
     sorted_ = cut.repartition(owners, F.when(F.col("kind") == 4, F.col("off")).otherwise(F.col("key"))).sortWithinPartitions("key").mapInArrow(_sort, SCHEMA)
     found = met.where("kind = 1").unionByName(sorted_).groupBy("doc", "tag").agg(F.collect_list(F.shiftleft("at", 31).bitwiseOR(F.col("n"))).alias("found"))
     out = dealt.join(found.hint("shuffle_hash"), ["doc", "tag"], "left").select("doc", "data", "found", "row.*")

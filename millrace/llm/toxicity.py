@@ -16,6 +16,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,8 @@ from millrace.llm.common import slices, texts
 POSITIVES, NEGATIVES, DOC_WINDOWS = 3000, 5000, 24
 WINDOW, STRIDE = 48, 24
 EMBED, HIDDEN, ATTEND, VOCAB, MIN_DOCS, CHAR_BUCKETS = 12, 12, 12, 20_000, 3, 1 << 13
-WORDS = 100_000
-EPOCHS, BATCH, RATE = 8, 128, 0.01
+WORDS, PART = 250_000, 25_000
+EPOCHS, BATCH, RATE = 7, 128, 0.01
 
 
 def words_of(text: str) -> list[str]:
@@ -42,9 +43,10 @@ def bare(word: str) -> str:
 
 
 def char_ids(word: str) -> list[int]:
-    """Buckets of the first four and six characters, then of the trigrams (of at most 24 characters)."""
-    w = "^" + word[:24] + "$"
-    return [zlib.crc32(x.encode("utf-8", "replace")) % CHAR_BUCKETS for x in (w[:5], w[:7], *(w[i : i + 3] for i in range(len(w) - 2)))]
+    """Buckets of the first four and six bytes, then of the trigrams of bytes (of at most 24 characters)."""
+    b = b"^%b$" % word[:24].encode("utf-8", "replace")
+    crc = zlib.crc32
+    return [crc(b[:5]) % CHAR_BUCKETS, crc(b[:7]) % CHAR_BUCKETS, *[crc(b[i : i + 3]) % CHAR_BUCKETS for i in range(len(b) - 2)]]
 
 
 def windows(n: int) -> list[int]:
@@ -70,9 +72,10 @@ class Network:
             self.p |= {f"wx{d}": normal(0.2, 2 * EMBED, 3 * HIDDEN), f"bx{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": normal(0.2, HIDDEN, 3 * HIDDEN)}
         self.p |= {"wa": normal(0.3, 2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": normal(0.3, ATTEND), "wo": normal(0.3, 2 * HIDDEN), "bo": np.full(1, -2, np.float32)}
 
-    def embed(self, words: list[str]) -> tuple[np.ndarray, tuple]:
+    def embed(self, words: list[str], known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, tuple]:
+        """Inputs of words; known: their character buckets, if they are at hand."""
         ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
-        chars = [char_ids(w) for w in words]
+        chars = [known[w] for w in words] if known else [char_ids(w) for w in words]
         sizes = np.fromiter(map(len, chars), np.int64, len(chars))
         flat = np.fromiter((c for x in chars for c in x), np.int64, int(sizes.sum()))
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
@@ -81,8 +84,8 @@ class Network:
         weight[starts] = weight[starts + 1] = 1
         return np.hstack((self.p["words"][ids], np.add.reduceat(self.p["chars"][flat] * weight[:, None], starts, axis=0))), (ids, flat, weight, sizes)
 
-    def project(self, words: list[str]) -> np.ndarray:
-        x, _ = self.embed(words)
+    def project(self, words: list[str], known: dict[str, list[int]] | None = None) -> np.ndarray:
+        x, _ = self.embed(words, known)
         return np.hstack((x @ self.p["wxf"] + self.p["bxf"], x @ self.p["wxb"] + self.p["bxb"]))
 
     def read(self, gates: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -168,6 +171,7 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     net = Network([w for w, n in sorted(in_docs.items(), key=lambda x: (-x[1], x[0]))[:VOCAB] if n >= MIN_DOCS], seed)
     index = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
     names = ["", *index]
+    buckets = {w: char_ids(w) for w in names}
     rows, owner = [], []
     for k, ws in enumerate(split):
         starts = windows(len(ws))
@@ -182,7 +186,7 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     for epoch in range(EPOCHS):
         chosen = [first + (rng.random(len(docs)) * count).astype(np.int64)]
         if epoch >= 2:
-            table, logits = net.project(names), np.empty(len(rows), np.float32)
+            table, logits = net.project(names, buckets), np.empty(len(rows), np.float32)
             for at in range(0, len(rows), 1024):
                 ids = rows[at : at + 1024].T
                 logits[at : at + 1024] = net.forward(table[ids], (ids > 0).astype(np.float32))[0]
@@ -196,7 +200,7 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
             ids, inverse = np.unique(rows[own].T, return_inverse=True)
             inverse = inverse.reshape(WINDOW, len(own))
             mask = (rows[own].T > 0).astype(np.float32)
-            x, (word, flat, weight, sizes) = net.embed([names[i] for i in ids])
+            x, (word, flat, weight, sizes) = net.embed([names[i] for i in ids], buckets)
             wx, bx = np.hstack((net.p["wxf"], net.p["wxb"])), np.concatenate((net.p["bxf"], net.p["bxb"]))
             gates = (x @ wx + bx)[inverse]
             logit, cache = net.forward(gates, mask, keep=True)
@@ -255,8 +259,8 @@ class Scorer:
 
         for k, text in enumerate(batch):
             words = words_of(text)
-            for part in range(0, max(len(words), 1), WORDS // 4):  # a huge text's words are looked up by parts that overlap
-                some = words[part : part + WORDS // 4 + WINDOW]
+            for part in range(0, max(len(words), 1), PART):  # a huge text's words are looked up by parts that overlap
+                some = words[part : part + PART + WINDOW]
                 ids = np.array(self.ids(some), np.int64)
                 for s in windows(len(ids)):
                     held.append(self.table[ids[s : s + WINDOW]])
@@ -268,6 +272,11 @@ class Scorer:
         return sigmoid(out)
 
 
+@lru_cache(maxsize=1)
+def scorer(model: bytes) -> Scorer:
+    return Scorer(load(model))
+
+
 def sample(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
     """(doc_id, text, label, weight): up to so many rows of each label, by hash of the id; weights restore the labels' ratio."""
     labelled = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -305,9 +314,9 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) for every row; null counts as empty. Without a model (nothing to learn from) every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(load(model))
+        own = scorer(model)
         for batch in slices(batches):
             held = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array(scorer.scores(held) if model else np.zeros(len(held)), pa.float64())], ["doc_id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(own.scores(held) if model else np.zeros(len(held)), pa.float64())], ["doc_id", "score"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
