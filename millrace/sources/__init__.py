@@ -1,0 +1 @@
+"""Readers and writers of JSON texts and tables."""
