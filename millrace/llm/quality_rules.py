@@ -56,13 +56,15 @@ def _covered(keyed: Column, same, window: int) -> Column:
     return once(keyed, lambda s: once(positions(s), span))
 
 
+def symbols(text: Column) -> Column:
+    return F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))
+
+
 def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """Punctuation junk, navigation (short fields between separators), or a boilerplate phrase."""
-    chars = word_chars(line)
-    symbols = F.char_length(line) - F.char_length(F.translate(line, "#*$%&|<>", ""))
-    fields = F.size(F.split(line, r"[|»›•]"))
+    """Of (text, chars, symbols): punctuation junk, navigation (short fields between separators), or a boilerplate phrase."""
+    fields = F.size(F.split(line["text"], r"[|»›•]"))
     phrases = "(?i)" + "|".join(rules.boilerplate)
-    return (symbols * 100 > chars * rules.max_line_symbol_percent) | (fields >= rules.min_navigation_fields) | line.rlike(phrases)
+    return (line["symbols"] * 100 > line["chars"] * rules.max_line_symbol_percent) | (fields >= rules.min_navigation_fields) | line["text"].rlike(phrases)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -84,15 +86,17 @@ def clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> Da
 
 
 def _judged(rows: DataFrame, carried: str, rules: Rules) -> DataFrame:
-    base = rows.withColumn("words", words_of(F.col("text")))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: word_chars(x) > 0)
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), word_chars(x).alias("chars"), symbols(x).alias("symbols")))
+    base = rows.withColumns({"words": words_of(F.col("text")), "lines": lines})
+    base = base.withColumn("clean", F.filter("lines", lambda x: ~line_fails(x, rules)))
+    total = lambda column: F.aggregate(column, F.lit(0), lambda a, x: a + x).cast("long")
+    filled = F.filter("lines", lambda x: x["chars"] > 0)["text"]
     counted = base.select(
-        carried, "text", F.size("words").cast("long").alias("n_words"), word_chars(F.col("text")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        carried, "text", F.size("words").cast("long").alias("n_words"), total(F.col("lines")["chars"]).alias("word_chars"), total(F.col("lines")["symbols"]).alias("n_symbols"),
+        (F.size(filled) - F.size(F.array_distinct(filled))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words"), rules.window).cast("long").alias("n_repeat_words"),
-        F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~line_fails(x, rules)), "\n").alias("clean_text"),
+        F.array_join(F.col("clean")["text"], "\n").alias("clean_text"), total(F.col("clean")["chars"]).alias("clean_chars"),
     )
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    lost = F.col("word_chars") - word_chars(F.col("clean_text"))
-    return counted.withColumns({"base_failed": failed, "lost_chars": lost.cast("long")}).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_lost_percent * F.col("word_chars")))
+    judged = counted.withColumns({"base_failed": failed, "lost_chars": F.col("word_chars") - F.col("clean_chars")}).drop("clean_chars")
+    return judged.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= rules.max_lost_percent * F.col("word_chars")))

@@ -32,6 +32,8 @@ WINDOW, STRIDE = 48, 24
 EMBED, HIDDEN, ATTEND, VOCAB, MIN_DOCS, CHAR_BUCKETS = 12, 12, 12, 20_000, 3, 1 << 13
 WORDS, PART = 250_000, 25_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
+#: small samples are gone over more often, until there were about STEPS steps, up to MOST_EPOCHS times
+STEPS, MOST_EPOCHS = 400, 40
 
 
 def words_of(text: str) -> list[str]:
@@ -182,10 +184,10 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     rows, owner = np.array(rows, np.int64).reshape(-1, WINDOW), np.array(owner)
     first = np.searchsorted(owner, np.arange(len(docs)))
     count = np.diff(first, append=len(owner))
-    adam = Adam(net.p)
-    for epoch in range(EPOCHS):
+    adam, epochs = Adam(net.p), min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // max(1, len(docs)))))
+    for epoch in range(epochs):
         chosen = [first + (rng.random(len(docs)) * count).astype(np.int64)]
-        if epoch >= 2:
+        if epoch >= epochs // 4:
             table, logits = net.project(names, buckets), np.empty(len(rows), np.float32)
             for at in range(0, len(rows), 1024):
                 ids = rows[at : at + 1024].T
@@ -214,7 +216,7 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
             g["words"], g["chars"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["chars"])
             np.add.at(g["words"], word, dx[:, :EMBED])
             np.add.at(g["chars"], flat, np.repeat(dx[:, EMBED:], sizes, axis=0) * weight[:, None])
-            adam.step(net.p, g, RATE * (1 - epoch / EPOCHS))
+            adam.step(net.p, g, RATE * (1 - epoch / epochs))
     return net
 
 
