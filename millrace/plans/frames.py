@@ -586,7 +586,8 @@ def running(w: Whole, node: Node, inner: list[Node]) -> Whole:
     if not is_number(item):
         raise NotNative("foreach")
     start = literal(init[1])
-    total = F.sum(item.column()).over(Window.orderBy(*sorting(w.order)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows, total = _prefix_sum(rows, item.column(), w.order)
+    scope = bound(patterns[0], rows.value, rows.scope)
     kind = LONG if isinstance(item.type, WHOLE) and isinstance(start.type, WHOLE) else DOUBLE
     df = rows.df.withColumn("$state", (start.column() + total).cast(kind))
     state = Typed(F.col("`$state`"), kind)
@@ -597,6 +598,29 @@ def running(w: Whole, node: Node, inner: list[Node]) -> Whole:
     return Whole(out, w.order, w.tables)
 
 
+def _prefix_sum(rows: Rows, item: Column, order: Order) -> tuple[Rows, Column]:
+    """A running sum over all rows. Where the first key is a number or a time, rows are dealt into ranges of it:
+    sums of ranges are few and get running sums first, then each range runs by itself. Other keys need one task."""
+    key, up = order[0]
+    kind = rows.df.select(key.alias("k")).schema["k"].dataType
+    everything = Window.orderBy(*sorting(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not isinstance(kind, (*NUMBERS, T.TimestampType, T.DateType)):
+        return rows, F.sum(item).over(everything)
+    number = key.cast("timestamp").cast("double") if isinstance(kind, T.DateType) else key.cast("double")
+    ranges = int(rows.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.df.select(number.alias("k")).approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.01))) if ranges > 1 else []
+    if not cuts:
+        return rows, F.sum(item).over(everything)
+    # a null key is the least; equal keys share a range
+    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < number)), F.lit(0))
+    dealt = rows.df.withColumn("$range", F.when(key.isNull(), F.lit(-1)).otherwise(place))
+    sums = dealt.groupBy("$range").agg(F.sum(item).alias("$sum"))
+    before = Window.orderBy(F.col("`$range`") if up else F.desc("`$range`")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("$range", F.coalesce(F.sum("`$sum`").over(before), F.lit(0)).alias("$before"))  # at most one row a range
+    own = Window.partitionBy("$range").orderBy(*sorting(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return replace(rows, df=dealt.join(F.broadcast(sums), "$range")), F.col("`$before`") + F.coalesce(F.sum(item).over(own), F.lit(0))
+
+
 def reduced(w: Whole, node: Node, rest: list[Node]) -> Rows:
     """reduce .[] as $e (c; . + f): a sum; with a condition, a conditional sum."""
     _, source, patterns, init, update = node
