@@ -27,11 +27,12 @@ def evaluate(program: str, value: Any, variables: dict[str, Any] | None = None,
     return list(compile_program(program, variables, tuple(paths))(value))
 
 
-def interpret(docs: DataFrame, program: str, variables: dict[str, Any] | None = None, paths: Iterable[str] = (), stream_events: bool = False) -> DataFrame:
+def interpret(docs: DataFrame, program: str, variables: dict[str, Any] | None = None, paths: Iterable[str] = (), stream_events: bool = False, events_for_errors: bool = False) -> DataFrame:
     """(file, place, turn, value, error) of a program over documents (file, place, doc), in Arrow batches.
 
     value is compact JSON. Outputs before an error are kept; the error is a row of its own, with its
-    message and no value. A document that can't be read is an error too.
+    message and no value. A document that can't be read is an error too, or with events_for_errors an
+    input ["message", []] of the program. stream_events gives the program the events of tostream.
     """
     tree, variables, paths = parse(program), dict(variables or {}), tuple(paths)
     if stream_events:
@@ -44,7 +45,13 @@ def interpret(docs: DataFrame, program: str, variables: dict[str, Any] | None =
             for file, place, doc in zip(*(c.to_pylist() for c in batch.select(["file", "place", "doc"]).columns), strict=True):
                 turn = 0
                 try:
-                    for x in f(from_json(doc)):
+                    try:
+                        given = from_json(doc)
+                    except Problem as problem:
+                        if not events_for_errors:
+                            raise
+                        given = [str(problem), []]
+                    for x in f(given):
                         out.append((file, place, turn, to_json(x), None))
                         turn += 1
                 except Problem as problem:
