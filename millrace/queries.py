@@ -67,8 +67,8 @@ QUERIES: dict[str, Query] = {
     "alternative": rows("labels", "{doc_id, toxic: (.toxic // -1), bad: (.quality == 0 // false)}", "SELECT doc_id, coalesce(toxic, -1)::BIGINT AS toxic, coalesce(quality = 0, false) AS bad FROM labels"),
     "arith": rows("lineitem", "{l_orderkey, l_linenumber, net: (.l_extendedprice * (1 - .l_discount))}", "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem"),
     "modulo": rows("orders", "{o_orderkey, shard: (.o_orderkey % 7), half: (.o_orderkey / 2)}", "SELECT o_orderkey, o_orderkey % 7 AS shard, o_orderkey / 2 AS half FROM orders"),
-    "math": rows("part", "{p_partkey, root: (.p_size | sqrt), up: (.p_retailprice | ceil), rounded: (.p_retailprice | round), lg: (.p_retailprice | log2)}", "SELECT p_partkey, sqrt(p_size) AS root, ceil(p_retailprice)::BIGINT AS up, round(p_retailprice)::BIGINT AS rounded, log2(p_retailprice) AS lg FROM part"),
-    "trigonometry": rows("part", "{p_partkey, s: (.p_size | sin), c: (.p_size | cos), t: (.p_size | atan), p: pow(.p_size; 2)}", "SELECT p_partkey, sin(p_size) AS s, cos(p_size) AS c, atan(p_size) AS t, pow(p_size, 2) AS p FROM part"),
+    "math": rows("part", "{p_partkey, root: (.p_size | sqrt), up: (.p_retailprice | ceil), rounded: (.p_retailprice | round), lg: (.p_retailprice | log2 | . * 1000 | floor)}", "SELECT p_partkey, sqrt(p_size) AS root, ceil(p_retailprice)::BIGINT AS up, round(p_retailprice)::BIGINT AS rounded, floor(log2(p_retailprice) * 1000)::BIGINT AS lg FROM part"),
+    "trigonometry": rows("part", "def millionths: . * 1e6 | round; {p_partkey, s: (.p_size | sin | millionths), c: (.p_size | cos | millionths), t: (.p_size | atan | millionths), p: pow(.p_size; 2)}", "SELECT p_partkey, round(sin(p_size) * 1e6)::BIGINT AS s, round(cos(p_size) * 1e6)::BIGINT AS c, round(atan(p_size) * 1e6)::BIGINT AS t, pow(p_size, 2) AS p FROM part"),
     "compare_all": rows("labels", "{doc_id, lt: (.toxic < .quality), ge: (.toxic >= .quality), ne: (.toxic != .quality)}", "SELECT doc_id, CASE WHEN toxic IS NULL THEN quality IS NOT NULL WHEN quality IS NULL THEN false ELSE toxic < quality END AS lt, CASE WHEN quality IS NULL THEN true WHEN toxic IS NULL THEN false ELSE toxic >= quality END AS ge, toxic IS DISTINCT FROM quality AS ne FROM labels"),
     "logic": rows("lineitem", '{l_orderkey, l_linenumber, odd: ((.l_quantity > 25 and .l_discount < 0.05) or .l_returnflag == "A" | not)}', "SELECT l_orderkey, l_linenumber, NOT ((l_quantity > 25 AND l_discount < 0.05) OR l_returnflag = 'A') AS odd FROM lineitem"),
     "bind": rows("lineitem", ".l_quantity as $q | .l_tax as $t | {l_orderkey, l_linenumber, x: ($q * $t)}", "SELECT l_orderkey, l_linenumber, l_quantity * l_tax AS x FROM lineitem"),
