@@ -62,6 +62,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def few_files(spark: SparkSession) -> int:
+    """Files for a checkpoint of a result far smaller than the input; still in proportion to it."""
+    return max(1, shuffle_partitions(spark) // 8)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to at most ``rows`` rows, which bounds a worker's memory when texts are long."""
     for batch in batches:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import checkpointed, held
+from millrace.llm.common import checkpointed, few_files
 
 FILE_EDGES = 1_000_000
 
@@ -33,7 +33,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a long, b long); the root is the component's smallest node, itself included."""
-    edges = held(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = checkpointed(edges, few_files(edges.sparkSession))
     before = _state(edges)
     while before[0]:
         edges = checkpointed(_small_star(_large_star(edges)), files=-(-before[0] // FILE_EDGES))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded, held, slices, texts
+from millrace.llm.common import bounded, checkpointed, few_files, held, slices, texts
 from millrace.llm.components import components
 
 BLOCK_ROWS = 4096
@@ -277,7 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"doc_{side}"))
     across = links.join(named("a"), "a").join(named("b"), "b").select("doc_a", "doc_b")
     within = prints.join(first, "fp").select(F.col("doc_id").alias("doc_a"), F.col("first").alias("doc_b"))
-    pairs = held(across.unionByName(within).where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct())
+    pairs = across.unionByName(within).where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
+    # cut here: plans that hold plans of persisted tables grow on the driver
+    pairs = checkpointed(pairs, few_files(docs.sparkSession))
     n = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     told = rows.join(bounded(ids, 2 * n, 16), rows["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
