@@ -68,8 +68,13 @@ def result(rows: Rows) -> DataFrame:
     """Columns of an object, or one column named value."""
     if isinstance(rows.value.type, T.StructType):
         fields = rows.value.fields or {n: rows.value.col.getField(n) for n in rows.value.type.names}
-        return rows.df.select(*[c.alias(k) for k, c in fields.items()])
-    return rows.df.select(rows.value.column().alias("value"))
+        return rows.df.select(*[_shown(c, rows.value.type[k].dataType).alias(k) for k, c in fields.items()])
+    return rows.df.select(_shown(rows.value.column(), rows.value.type).alias("value"))
+
+
+def _shown(c: Column, kind: T.DataType) -> Column:
+    """JSON values leave as text."""
+    return F.to_json(c) if isinstance(kind, T.VariantType) else c
 
 
 def _explode(rows: Rows, items: Column, kind: T.DataType) -> Rows:

@@ -34,6 +34,11 @@ class Typed:
         return F.struct(*[c.alias(k) for k, c in self.fields.items()])
 
     def get(self, name: str) -> Typed:
+        if isinstance(self.type, T.VariantType):
+            plain = re.fullmatch(r"[A-Za-z_]\w*", name)
+            if not plain and "'" in name:
+                raise NotNative("field name")
+            return Typed(F.try_variant_get(self.col, f"$.{name}" if plain else f"$['{name}']", "variant"), self.type)
         if not isinstance(self.type, T.StructType):
             if isinstance(self.type, T.MapType):
                 return Typed(F.try_element_at(self.column(), F.lit(name)), self.type.valueType)
@@ -85,8 +90,32 @@ def rank(t: T.DataType) -> int:
     return 5 if isinstance(t, T.ArrayType) else 6
 
 
+def variant_rank(c: Column) -> Column:
+    """The place of a JSON value's type in the total order; true counts as false here."""
+    kind = F.coalesce(F.schema_of_variant(c), F.lit("VOID"))
+    out = F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)"), 3)
+    return out.when(kind == "STRING", 4).when(kind.startswith("ARRAY"), 5).otherwise(6)
+
+
+def variant_as(c: Column, rank_: int) -> Column:
+    """The value, if it is of the type with that rank, else null."""
+    return F.when(variant_rank(c) == rank_, F.try_variant_get(c, "$", {1: "boolean", 3: "double", 4: "string"}[rank_]))
+
+
+def variant_comparison(op: str, v: Typed, other: Typed) -> Column:
+    rb, y = rank(other.type), other.column()
+    if rb not in (1, 3, 4):
+        raise NotNative("comparison of JSON values")
+    x, own = variant_as(v.col, rb), variant_rank(v.col)
+    y = y.cast("double") if rb == 3 else y
+    order = F.when(y.isNull(), F.when(own == 0, 0).otherwise(1)).when(own < rb, -1).when(own > rb, 1).when(x < y, -1).when(x > y, 1).otherwise(0)
+    return {"==": order == 0, "!=": order != 0, "<": order < 0, "<=": order <= 0, ">": order > 0, ">=": order >= 0}[op]
+
+
 def truth(t: Typed) -> Column:
     """Never null."""
+    if isinstance(t.type, T.VariantType):
+        return (variant_rank(t.col) > 0) & F.coalesce(variant_as(t.col, 1), F.lit(True))
     if isinstance(t.type, T.BooleanType):
         return F.coalesce(t.col, F.lit(False))
     if isinstance(t.type, T.NullType):
@@ -107,6 +136,13 @@ def condition(node: Node, value: Typed, scope: Scope) -> Column:
 
 def comparison(op: str, a: Typed, b: Typed, exact: bool = True) -> Column:
     """exact: true or false; else null may stand for false."""
+    if isinstance(a.type, T.VariantType) or isinstance(b.type, T.VariantType):
+        if isinstance(a.type, T.VariantType) and not isinstance(b.type, (T.VariantType, T.NullType)):
+            return variant_comparison(op, a, b)
+        turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+        if isinstance(b.type, T.VariantType) and not isinstance(a.type, (T.VariantType, T.NullType)):
+            return variant_comparison(turned, b, a)
+        raise NotNative("comparison of JSON values")
     if isinstance(a.type, T.NullType) or isinstance(b.type, T.NullType):
         x, y = a.column().isNotNull(), b.column().isNotNull()
         both = {"==": ~x & ~y, "!=": x | y, "<": ~x & y, ">": x & ~y, "<=": ~x, ">=": ~y}
@@ -378,6 +414,10 @@ def indexed(target: Typed, key: Node, value: Typed, scope: Scope) -> Typed:
         return target.get(key[1])
     if key[0] == "literal" and getattr(target, "parts", None) and key[1] in (0, 1):
         return target.parts[key[1]]
+    if isinstance(target.type, T.VariantType):
+        if key[0] == "literal" and isinstance(key[1], int) and key[1] >= 0:
+            return Typed(F.try_variant_get(target.col, f"$[{key[1]}]", "variant"), target.type)
+        raise NotNative("index of a JSON value")
     k = scalar(key, value, scope)
     if isinstance(target.type, T.ArrayType) and is_number(k):
         i = F.floor(k.column()).cast("int")
@@ -549,7 +589,7 @@ TEXT, ARRAY = (T.StringType,), (T.ArrayType,)
 WHITE = r"\p{IsWhite_Space}"
 UNARY: dict[str, Callable[[Typed], Typed]] = {
     "not": lambda t: Typed(~truth(t), BOOLEAN),
-    "tostring": lambda t: Typed(text(t), STRING) if not isinstance(t.type, T.StringType) else t,
+    "tostring": lambda t: Typed(F.coalesce(variant_as(t.col, 4), F.to_json(t.col), F.lit("null")), STRING) if isinstance(t.type, T.VariantType) else Typed(text(t), STRING) if not isinstance(t.type, T.StringType) else t,
     "ascii_downcase": needs(TEXT, same(lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))),
     "ascii_upcase": needs(TEXT, same(lambda c: F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))),
     "utf8bytelength": needs(TEXT, same(lambda c: F.octet_length(c).cast("long"), LONG)),
@@ -575,7 +615,8 @@ UNARY: dict[str, Callable[[Typed], Typed]] = {
 for _name in ("sqrt", "cbrt", "exp", "expm1", "log1p", "sin", "cos", "tan", "asin", "acos", "atan", "sinh", "cosh", "tanh", "asinh", "acosh", "atanh"):
     UNARY[_name] = needs(NUMBERS, same(lambda c, f=getattr(F, _name): f(c.cast("double")), DOUBLE))
 UNARY |= {"todateiso8601": UNARY["todate"], "fromdateiso8601": UNARY["fromdate"], "truncate": UNARY["trunc"], "log_e": UNARY["log"]}
-UNARY["tonumber"] = lambda t: t if is_number(t) else needs(TEXT, same(lambda c: c.try_cast("double"), DOUBLE))(t)
+UNARY["fromjson"] = needs(TEXT, same(F.try_parse_json, T.VariantType()))
+UNARY["tonumber"] = lambda t: t if is_number(t) else Typed(F.coalesce(variant_as(t.col, 3), variant_as(t.col, 4).try_cast("double")), DOUBLE) if isinstance(t.type, T.VariantType) else needs(TEXT, same(lambda c: c.try_cast("double"), DOUBLE))(t)
 
 
 def length(t: Typed) -> Typed:
@@ -607,6 +648,9 @@ def type_name(t: Typed) -> Typed:
     names = {1: "boolean", 3: "number", 4: "string", 5: "array", 6: "object"}
     if isinstance(t.type, T.NullType):
         return literal("null")
+    if isinstance(t.type, T.VariantType):
+        own = variant_rank(t.col)
+        return Typed(F.when(own == 0, "null").when(own == 1, "boolean").when(own == 3, "number").when(own == 4, "string").when(own == 5, "array").otherwise("object"), STRING)
     name = F.lit(names[rank(t.type)])
     return Typed(F.when(t.column().isNull(), F.lit("null")).otherwise(name) if t.col is not None else name, STRING)
 

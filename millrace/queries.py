@@ -88,6 +88,8 @@ QUERIES: dict[str, Query] = {
     "base64_round_trip": rows("pages", "select((.url | @base64 | @base64d) == .url) | .page_id", "SELECT page_id AS value FROM pages"),
     "dates": rows("orders", '{o_orderkey, day: (.o_orderdate | strftime("%Y-%m-%d")), iso: (.o_orderdate | todate), month: (.o_orderdate | gmtime | .[1])}', "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, (month(o_orderdate) - 1)::BIGINT AS month FROM orders"),
     "epoch": rows("events", "{event_id, at: (.event_id * 3600 | todate), back: (.event_id * 3600 | todate | fromdate)}", "SELECT event_id, strftime(make_timestamp(event_id * 3600 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at, event_id * 3600 AS back FROM events"),
+    "json_number": rows("events", "{event_id, k: (.props | fromjson | .k | tonumber)}", "SELECT event_id, (props->>'k')::DOUBLE AS k FROM events"),
+    "json_filter": rows("events", "select((.props | fromjson | .k) > 90) | {event_id, k: (.props | fromjson | .k | tostring)}", "SELECT event_id, props->>'k' AS k FROM events WHERE (props->>'k')::DOUBLE > 90"),
     # arrays in a row
     "array_sum_squares": rows("embeddings", "{vec_id, s: (.embedding | map(. * .) | add)}", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) AS s FROM embeddings"),
     "array_filter": rows("embeddings", "{vec_id, n: ([.embedding[] | select(. > 0)] | length)}", "SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings"),

@@ -48,6 +48,14 @@ def test_filter_reaches_the_scan(spark, capsys):
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double>" in plan
 
 
+def test_json_values_in_columns(spark):
+    texts = ['{"k":1}', '{"k":"a"}', '{"k":null}', "{}", '{"k":[1]}', '{"k":true}', '{"k":2.5}', '{"k":"5"}', '{"k":false}']
+    df = spark.createDataFrame([(t,) for t in texts], "j string")
+    for program in ("(.j | fromjson | .k) > 1", "(.j | fromjson | .k) == \"a\"", "(.j | fromjson | .k) < \"b\"", "(.j | fromjson | .k | type)", "if (.j | fromjson | .k) then 1 else 0 end", "(.j | fromjson | .k) != 1", "(.j | fromjson | .k | tostring)", "select((.j | fromjson | .k) >= 2) | .j"):
+        native = [to_json(r["value"]) for r in query(df, program, mode="native").collect()]
+        assert native == [r["value"] for r in query(df, program, mode="interpreted").collect()], program
+
+
 def test_falls_back(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, s string")
     with pytest.raises(NotNative):
