@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = checkpointed(pairs, few_files(docs.sparkSession))
     n = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    told = rows.join(bounded(ids, 2 * n, 16), rows["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    told = rows.join(bounded(ids, 2 * n, 16), rows["doc_id"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot document's pairs
     of = lambda side: told.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
     return components(checked).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
