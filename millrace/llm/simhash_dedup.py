@@ -14,6 +14,7 @@ members link if they meet; no meeting holds more than a ball's worth of distinct
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ BLOCK_ROWS = 4096
 FANOUT = 8
 #: rows that a task searches at once, and searches in flight
 CHUNK_ROWS, SEARCHES = 1 << 17, 256
+#: rows (or a hundredth, if more) in which common shingles are sought, how often they are seen there, and how many are told to all tasks
+SAMPLE_ROWS, COMMON_SEEN, COMMON = 8000, 3, 200_000
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42, distinct: bool = False) -> int:
@@ -238,12 +241,27 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(of_word, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _grams(text: str, shingle: int) -> list[bytes]:
+    """Shingles of words in lower case; fewer words than a shingle, or none, make one."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))[:n].tolist()
+    stops = ends[-n:].tolist() or [0]
+    return [joined[i:j] for i, j in zip(starts, stops, strict=True)]
+
+
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The text's set of shingles as sorted hashes of 64 bits."""
+    digest = xxhash.xxh3_64_digest
+    return np.unique(np.frombuffer(b"".join([digest(g) for g in _grams(text, shingle)]), np.uint64))
+
+
 def _similar(shingle: int, least: float):
     """Keeps pairs (a, b, text_a, text_b) whose sets of word shingles have at least that Jaccard similarity."""
 
     def shingles(text: str) -> set[bytes]:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        return {xxhash.xxh3_128_digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))}
+        return set(map(xxhash.xxh3_128_digest, _grams(text, shingle)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -256,33 +274,148 @@ def _similar(shingle: int, least: float):
     return run
 
 
+def common_shingles(rows: DataFrame, n: int, shingle: int) -> np.ndarray:
+    """Hashes of frequent shingles, the rarest first, by a sample of the n rows. Only the order of prefixes depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    one_of = max(1, n // max(SAMPLE_ROWS, n // 100))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SEEN)
+    top = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
+    return top[::-1].astype(np.int64).view(np.uint64)
+
+
+def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first hashes in an order that all texts share (common ones last, by rank): two sets of that similarity meet in them."""
+    n = len(hashes)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        if (known := common[at] == hashes).any():
+            hashes = np.concatenate((hashes[~known], hashes[known][np.argsort(rank[at[known]])]))
+    return hashes[: n - math.ceil(least * n - 1e-9) + 1]
+
+
+def _prefixes(shingle: int, least: float, common: np.ndarray):
+    """(token, doc_id, root, size << 32 | place) of the prefix of each (doc_id, text, root)."""
+    order = np.argsort(common)
+    known = common[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            tokens = [prefix(h, least, known, order) for h in sets]
+            many = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), many)
+            told = [np.repeat(batch.column(c).to_numpy(), many) for c in (0, 2)]
+            yield pa.record_batch([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), *told, size << 32 | place)], ["token", "doc_id", "root", "shape"])
+
+    return run
+
+
+def _meetings(least: float):
+    """Streams prefix rows sorted by token. Out: all pairs (a, b) of a token, of different roots, that size and place allow to be similar."""
+
+    def possible(x: tuple, y: tuple) -> Iterator[pa.RecordBatch]:
+        small, large = np.minimum(x[3] >> 32, y[3] >> 32), np.maximum(x[3] >> 32, y[3] >> 32)
+        left = np.minimum((x[3] >> 32) - (x[3] & 0xFFFFFFFF), (y[3] >> 32) - (y[3] & 0xFFFFFFFF))  # what may be shared from here on
+        keep = (x[2] != y[2]) & (small >= least * large - 1e-9) & (left * (1 + least) >= least * (small + large) - 1e-6)
+        if keep.any():
+            a, b = x[1][keep], y[1][keep]
+            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def all_pairs(rows: tuple) -> Iterator[pa.RecordBatch]:
+        """Rows are sorted by token and size, so a partner that is too large ends a row's search."""
+        token, size, i, step = rows[0], rows[3] >> 32, np.arange(len(rows[0])), 1
+        while len(i := i[i + step < len(token)]):
+            i = i[(token[i] == token[i + step]) & (size[i] >= least * size[i + step] - 1e-9)]
+            yield from possible(tuple(c[i] for c in rows), tuple(c[i + step] for c in rows))
+            step += 1
+
+    def flush(rows: tuple) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows[3], rows[0]))
+        rows = tuple(c[order] for c in rows)
+        first = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))
+        many = np.diff(first, append=len(rows[0]))
+        mixed = np.minimum.reduceat(rows[2], first) != np.maximum.reduceat(rows[2], first)
+        large = np.zeros(len(rows[0]), bool)
+        for k in np.flatnonzero(mixed & (many > 256)):  # the largest group's own pairs are left out, not just dropped
+            block = tuple(c[first[k] : first[k] + many[k]] for c in rows)
+            roots, counts = np.unique(block[2], return_counts=True)
+            inside = block[2] == roots[counts.argmax()]
+            most, others = tuple(c[inside] for c in block), tuple(c[~inside] for c in block)
+            for n in range(len(others[0])):
+                yield from possible(tuple(c[n : n + 1].repeat(len(most[0])) for c in others), most)
+            yield from all_pairs(others)
+            large[first[k] : first[k] + many[k]] = True
+        small = np.repeat(mixed, many) & ~large
+        yield from all_pairs(tuple(c[small] for c in rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            rows = tuple(batch.column(c).to_numpy() for c in range(4))
+            own = rows if own is None else tuple(np.concatenate(c) for c in zip(own, rows, strict=True))
+            if len(own[0]) >= CHUNK_ROWS and own[0][0] != own[0][-1]:
+                open_ = own[0] == own[0][-1]
+                yield from flush(tuple(c[~open_] for c in own))
+                own = tuple(c[open_] for c in own)
+        if own is not None and len(own[0]):
+            yield from flush(own)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
     """(doc_id, component_id) of documents that belong to a group of near-duplicates, the group's smallest doc_id included.
 
-    Candidates are pairs whose fingerprints over distinct words differ in at most max_bits bits for one
-    of the seeds; a pair is linked if its sets of word shingles have at least the given Jaccard
-    similarity. Documents without id belong to no group; texts without words are similar to each other.
+    Two documents are linked if their sets of word shingles have at least the given Jaccard similarity,
+    and every such pair ends in one group (up to equal 64-bit hashes). Documents of equal sets are one.
+    Candidates of a first round are pairs whose fingerprints over distinct words differ in at most
+    max_bits bits for one of the seeds, one partner a block; it only joins large groups early. The
+    second round meets documents of different groups in all shingles of their prefixes (the rarest
+    fifth, at 0.8), which similar sets must share. Each pair of both rounds is verified by its shingle
+    sets. Documents without id belong to no group; texts without words are similar to each other.
     """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    every = texts(docs, id_col, text_col).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [[fingerprint(t, 1, seed, distinct=True) for seed in seeds] for t in batch.column(1).to_pylist()]
+            held_ = batch.column(1).to_pylist()
+            found = [[fingerprint(t, 1, seed, distinct=True) for seed in seeds] for t in held_]
+            sets = np.frombuffer(b"".join([xxhash.xxh3_128_digest(shingle_hashes(t, shingle).tobytes()) for t in held_]), np.int64).reshape(-1, 2)
             flat = np.array(found, np.uint64).reshape(-1).view(np.int64)
-            yield pa.record_batch([pa.array(np.repeat(batch.column(0).to_numpy(), len(seeds))), pa.array(flat)], ["doc_id", "fp"])
-
-    prints = held(rows.mapInArrow(run, "doc_id long, fp long"))
+            yield pa.record_batch([pa.array(np.repeat(c, len(seeds))) for c in (batch.column(0).to_numpy(), sets[:, 0], sets[:, 1])] + [pa.array(flat)], ["doc_id", "s1", "s2", "fp"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        # cut here: plans that hold plans of persisted tables grow on the driver
+        pairs = checkpointed(pairs, few_files(docs.sparkSession))
+        n = pairs.count()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        told = every.join(bounded(ids, 2 * n, 16), every["doc_id"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot document's pairs
+        of = lambda side: told.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
+        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
+        return checkpointed(checked, few_files(docs.sparkSession))
+
+    prints = held(every.mapInArrow(run, "doc_id long, s1 long, s2 long, fp long"))
+    n = prints.count() // len(seeds)
+    least = prints.groupBy("s1", "s2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b <> most").drop("most")
+    equal = checkpointed(prints.join(least, ["s1", "s2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), few_files(docs.sparkSession))
     first = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     links = fingerprint_links(first.select("fp"), max_bits, direct=True).distinct()
     named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"doc_{side}"))
     across = links.join(named("a"), "a").join(named("b"), "b").select("doc_a", "doc_b")
     within = prints.join(first, "fp").select(F.col("doc_id").alias("doc_a"), F.col("first").alias("doc_b"))
     pairs = across.unionByName(within).where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
-    # cut here: plans that hold plans of persisted tables grow on the driver
-    pairs = checkpointed(pairs, few_files(docs.sparkSession))
-    n = pairs.count()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    told = rows.join(bounded(ids, 2 * n, 16), rows["doc_id"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot document's pairs
-    of = lambda side: told.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-    checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
-    return components(checked).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    early = verified(pairs).unionByName(equal)
+    joined = held(components(early).select(F.col("node").alias("doc_id"), "root"))
+    gone = equal.select(F.col("a").alias("doc_id"))
+    rows = every.join(bounded(gone, gone.count(), 16), "doc_id", "left_anti")
+    rows = rows.join(bounded(joined, joined.count(), 24), "doc_id", "left").select("doc_id", "text", F.coalesce("root", "doc_id").alias("root"))
+    tokens = rows.mapInArrow(_prefixes(shingle, similarity, common_shingles(every, n, shingle)), "token long, doc_id long, root long, shape long")
+    met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), "a long, b long").distinct()
+    return components(early.unionByName(verified(met))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

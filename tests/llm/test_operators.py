@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -115,6 +116,54 @@ def test_near_duplicates_need_five_word_similarity(spark):
     assert {(r[0], r[1]) for r in simhash_dedup.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
 
 
+def brute_near(texts):
+    """Groups of two or more by all pairs: {doc_id: smallest doc_id of its group}."""
+    sets = {i: {tuple(w[j : j + 5]) for w in [t.encode().lower().split()] for j in range(max(1, len(w) - 4))} for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    groups = {i: find(i) for i in sets}
+    return {i: r for i, r in groups.items() if list(groups.values()).count(r) > 1}
+
+
+def test_near_duplicates_try_more_than_the_first_partner(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(120)]
+    texts = {}
+    for k in range(12):  # the same words in other orders have one fingerprint; only every second order has near copies
+        rng.shuffle(words)
+        texts[10 * k] = " ".join(words)
+        if k % 2:
+            texts[10 * k + 1], texts[10 * k + 2] = " ".join([words[1], words[0], *words[2:]]), " ".join([*words[:-2], words[-1], words[-2]])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_near(texts)
+    assert len(want) == 18
+    assert {r[0]: r[1] for r in simhash_dedup.near_duplicates(df).collect()} == want
+
+
+def test_meetings_of_a_large_block():
+    rng = np.random.default_rng(5)
+    n = 700
+    size, root = rng.integers(50, 90, n), np.where(rng.random(n) < 0.7, 0, np.arange(n))
+    place = rng.integers(0, 20, n)
+    token = np.where(np.arange(n) < 600, 7, 9)
+    cols = [token, np.arange(n), root, size << 32 | place]
+    batches = [pa.record_batch([pa.array(c[k : k + 100]) for c in cols], ["token", "doc_id", "root", "shape"]) for k in range(0, n, 100)]
+    got = {(a, b) for batch in simhash_dedup._meetings(0.8)(iter(batches)) for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)}
+    left = size - place
+    allowed = lambda i, j: min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-9 and min(left[i], left[j]) >= 0.8 / 1.8 * (size[i] + size[j]) - 1e-6
+    assert got == {(j, i) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and root[i] != root[j] and allowed(i, j)}
+
+
 # 2
 def test_byte_bpe_query(spark, texts):
     coder = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
