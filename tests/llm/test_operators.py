@@ -164,6 +164,22 @@ def test_meetings_of_a_large_block():
     assert got == {(j, i) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and root[i] != root[j] and allowed(i, j)}
 
 
+@pytest.mark.parametrize("n_words", [100, 300])
+def test_near_duplicates_by_appended_cut_and_inserted_passages(spark, n_words):
+    rng = random.Random(n_words)
+    some = lambda n: [f"w{int(rng.paretovariate(0.6))}" for _ in range(n)]  # noqa: E731  few common words, many rare ones
+    texts, kinds = {}, ("appended", "cut", "inserted")
+    for k in range(60):
+        base, more = some(n_words), some(int(n_words * rng.uniform(0.10, 0.25)))
+        at = rng.randrange(n_words)
+        copy = {"appended": base + more, "cut": base[len(more) * 4 // 5 :], "inserted": base[:at] + more + base[at:]}[kinds[k % 3]]
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(copy)
+    want = brute_near(texts)
+    assert 40 < len(want) < 120
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r[0]: r[1] for r in simhash_dedup.near_duplicates(df).collect()} == want
+
+
 # 2
 def test_byte_bpe_query(spark, texts):
     coder = byte_bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
