@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = held(exact_dedup.exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("sha")).distinct())
     gone = bounded(dropped, dropped.count(), 96)
     own = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (own == gone["sha"]), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (own == gone["sha"]), "left_anti")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,9 @@ def test_run_and_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/e/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
     assert exact_dedup.OWNER_ROWS > 0
+
+
+def test_exact_stage_drops_copies_without_id(spark):
+    rows = [(3, "Same words"), (None, "same WORDS"), (1, "same words"), (None, "other words"), (None, "Other words"), (4, "alone")]
+    left = corpus_pipeline.exact(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, "Other words"), (0, "other words"), (3, "Same words"), (4, "alone")]
