@@ -29,6 +29,8 @@ from millrace.llm.common import slices, texts
 #: bounds of the training sample, and of the windows that training takes from one document
 POSITIVES, NEGATIVES, DOC_WINDOWS = 3000, 5000, 24
 WINDOW, STRIDE = 48, 24
+#: characters of a word; longer ones are cut into pieces
+WORD_CHARS = 24
 EMBED, HIDDEN, ATTEND, VOCAB, MIN_DOCS, CHAR_BUCKETS = 12, 12, 12, 20_000, 3, 1 << 13
 WORDS, PART = 250_000, 25_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
@@ -37,16 +39,20 @@ STEPS, MOST_EPOCHS = 400, 40
 
 
 def words_of(text: str) -> list[str]:
-    return text.lower().split()
+    """Words in lower case; an over-long one, as in text without blanks, is cut into pieces that each count as a word."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= WORD_CHARS:
+        return words
+    return [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
 
 
 def bare(word: str) -> str:
-    return word.strip(".,;:!?\"'()[]*#$%&|<>") or word[:24]
+    return word.strip(".,;:!?\"'()[]*#$%&|<>") or word
 
 
 def char_ids(word: str) -> list[int]:
-    """Buckets of the first four and six bytes, then of the trigrams of bytes (of at most 24 characters)."""
-    b = b"^%b$" % word[:24].encode("utf-8", "replace")
+    """Buckets of the first four and six bytes, then of the trigrams of bytes."""
+    b = b"^%b$" % word.encode("utf-8", "replace")
     crc = zlib.crc32
     return [crc(b[:5]) % CHAR_BUCKETS, crc(b[:7]) % CHAR_BUCKETS, *[crc(b[i : i + 3]) % CHAR_BUCKETS for i in range(len(b) - 2)]]
 

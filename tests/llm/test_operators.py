@@ -261,6 +261,13 @@ def test_every_window_counts():
     assert covered == set(range(1001))
 
 
+def test_toxicity_reads_all_of_a_long_word():
+    assert toxicity.words_of("Short " + "ab" * 30) == ["short", "ab" * 12, "ab" * 12, "ab" * 6]
+    scorer = toxicity.Scorer(toxicity.Network(["a"], seed=1))
+    plain, other = scorer.scores(["天気" * 40, "天気" * 20 + "毒物" * 20])
+    assert plain != other
+
+
 def test_toxicity_odd(odd, spark):
     labels = spark.createDataFrame([(3, 1), (6, 0), (8, None)], "doc_id long, label int")
     model = toxicity.train(toxicity.sample(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels))
