@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import slices, texts
 
-#: bounds of the training sample, and of the windows that training takes from one document
-POSITIVES, NEGATIVES, DOC_WINDOWS = 3000, 5000, 24
+#: bounds of the training sample
+POSITIVES, NEGATIVES = 3000, 5000
 WINDOW, STRIDE = 48, 24
 #: characters of a word; longer ones are cut into pieces
 WORD_CHARS = 24
@@ -182,12 +182,12 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     buckets = {w: char_ids(w) for w in names}
     rows, owner = [], []
     for k, ws in enumerate(split):
+        ids = np.zeros(max(WINDOW, len(ws)), np.int32)
+        ids[: len(ws)] = [index[w] for w in ws]
         starts = windows(len(ws))
-        for s in starts if len(starts) <= DOC_WINDOWS else [starts[i * len(starts) // DOC_WINDOWS] for i in range(DOC_WINDOWS)]:
-            ids = [index[w] for w in ws[s : s + WINDOW]]
-            rows.append(ids + [0] * (WINDOW - len(ids)))
-            owner.append(k)
-    rows, owner = np.array(rows, np.int64).reshape(-1, WINDOW), np.array(owner)
+        rows.append(ids[np.array(starts)[:, None] + np.arange(WINDOW)])
+        owner += [k] * len(starts)
+    rows, owner = np.concatenate([np.zeros((0, WINDOW), np.int32), *rows]), np.array(owner)
     first = np.searchsorted(owner, np.arange(len(docs)))
     count = np.diff(first, append=len(owner))
     adam, epochs = Adam(net.p), min(MOST_EPOCHS, max(EPOCHS, -(-STEPS * BATCH // max(1, len(docs)))))

@@ -268,6 +268,17 @@ def test_toxicity_reads_all_of_a_long_word():
     assert plain != other
 
 
+def test_toxicity_learns_from_all_windows_of_a_long_text():
+    rng = random.Random(0)
+    texts = [[f"w{rng.randrange(60)}" for _ in range(1500)] for _ in range(72)]
+    labels = np.arange(72) % 2
+    for t in texts[1::2]:
+        t[100:116] = ["poison"] * 16  # 24 evenly spaced windows of 62 leave out words 96 to 119
+    scorer = toxicity.Scorer(toxicity.fit([" ".join(t) for t in texts], labels.astype(np.float32), np.ones(72, np.float32)))
+    bad, good = scorer.scores([" ".join(texts[1][90:130]), " ".join(texts[0][90:130])])
+    assert bad > 0.5 > good
+
+
 def test_toxicity_odd(odd, spark):
     labels = spark.createDataFrame([(3, 1), (6, 0), (8, None)], "doc_id long, label int")
     model = toxicity.train(toxicity.sample(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels))
