@@ -2,8 +2,8 @@
 
 A word enters as its own embedding (words that enough training documents have) beside one made from
 its characters (trigrams, and its first four and six characters). The network reads windows of WINDOW
-words that overlap by half; a text's score is that of its most suspicious window, and every window of
-the whole text is scored. Training sees documents only: each epoch finds every document's most
+words, every STRIDE words and the last, which cover all words of the text; a text's score is that of its
+most suspicious window. Training sees documents only: each epoch finds every document's most
 suspicious window and learns from that one and a random one (multiple-instance learning).
 
 Training takes a bounded sample of labelled rows, by hash order, on one executor; scoring is a narrow
