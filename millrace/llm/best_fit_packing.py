@@ -10,6 +10,7 @@ sequences and leaves at most a few of them slack, so sharding costs next to noth
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -25,73 +26,119 @@ from pyspark.sql import types as T
 from millrace.llm.common import slices, texts
 
 SHARD_DOCS = 50_000
-#: words and stems whose ids a worker remembers; a memory is emptied when full
-WORDS, STEMS = 600_000, 600_000
-
-
-TAILS = b".,;:!?"
-#: words of ASCII and Latin-1 letters, in UTF-8
-LETTERS = re.compile(rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: words and stems whose ids a worker remembers; when a memory is full, its older half is forgotten
+WORDS, STEMS = 800_000, 600_000
+#: words that are encoded in one text; characters of a text that are split into words at once
+TOGETHER, PART = 256, 1 << 20
+#: documents that are encoded at once: few, so that their words stay in the processor's caches
+ROWS = 32
+
+#: one plain letter (ASCII or Latin-1) in UTF-8; words of such letters, one a line; ASCII punctuation between such a letter and the line's end
+LETTER = rb"(?:[a-zA-Z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+PLAIN = re.compile(rb"^" + LETTER + rb"+$", re.MULTILINE)
+TAIL = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@\[-`{-~]+$", re.MULTILINE)
+#: fixed values: what the tokenizer file must say for words to be encoded one by one
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+
+
+class Memory:
+    """A bounded dictionary of two generations: what is asked for moves to the young one; the old one goes when the young one is full."""
+
+    def __init__(self, size: int):
+        self.half, self.young, self.old = size // 2, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """Those that are known to neither generation; the others are in the young one afterwards."""
+        if len(self.young) > self.half:
+            self.young, self.old = {}, self.young
+        absent = keys.difference(self.young)
+        new = absent.difference(self.old)
+        old = self.old
+        self.young.update([(k, old[k]) for k in absent - new])
+        return new
 
 
 class WordTokenizer:
     """A lower-casing tokenizer whose tokens never cross ASCII white space or run from a letter into punctuation.
 
     Words are encoded once and remembered; in them, closing punctuation and capitals are taken off first.
+    A tokenizer file of another kind is used as it is, text by text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), {}, {}
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.known, self.stems = Tokenizer.from_file(path), Memory(WORDS), Memory(STEMS)
+        told = json.loads(self.tokenizer.to_str())
+        splitter = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_words = (
+            (told["normalizer"] or {}).get("normalizers") == NORMALIZERS and splitter[0].get("pattern") == {"Regex": SPLIT} and [x["type"] for x in splitter[1:]] == ["ByteLevel"]
+            and told["model"]["type"] == "BPE" and told["model"]["end_of_word_suffix"] == WORD_END and all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in told["added_tokens"])
+        )
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocab.values()) + 1, bool)  # of the tokens that end a word
-        self.closes[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-
-    def parts(self, word: bytes) -> tuple[bytes, bytes]:
-        """(stem, closing punctuation); a word with special strings or without a letter before the punctuation stays whole."""
-        if b"<|" in word:
-            return word, b""
-        word = word.lower()
-        stem = word.rstrip(TAILS)
-        return (stem, word[len(stem) :]) if stem[-1:].isalpha() else (word, b"")
-
-    def learn(self, words: list[bytes]) -> None:
-        split = [self.parts(w) for w in words]
-        stems = self.stems
-        if new := [x for x in dict.fromkeys(x for pair in split for x in pair if x) if x not in stems]:
-            if len(stems) + len(new) > STEMS:
-                stems.clear()
-                new = list(dict.fromkeys(x for pair in split for x in pair if x))
-            stems.update(self.coded(new))
-        for word, (stem, tail) in zip(words, split, strict=True):
-            self.known[word] = stems[stem] + stems[tail] if tail else stems[stem]
-
-    def coded(self, stems: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Stems with their ids. Those of plain letters are single words to the tokenizer, so one text of them is encoded and split at word ends."""
-        plain, others = [], []
-        for stem in stems:
-            (plain if LETTERS.fullmatch(stem) else others).append(stem)
-        if plain:
-            ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+        self.closes[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+        # for words of plain lower-case letters, which normalising leaves as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def learn(self, words: set[bytes]) -> None:
+        if special := [w for w in words if b"<|" in w]:  # may hold special strings, which are sought before letters are made small
+            self.known.young.update(zip(special, self.whole(special), strict=True))
+            words = words.difference(special)
+        words = list(words)
+        lines = b"\n".join(words).lower()
+        stems, small = TAIL.sub(b"", lines).split(b"\n"), lines.split(b"\n")
+        tails = [(w, s, x[len(s) :]) for w, s, x in zip(words, stems, small, strict=False) if len(s) < len(x)]
+        new = self.stems.missing({t for _, _, t in tails}.union(stems))
+        told = self.stems.young
+        told.update(self.coded(new))
+        self.known.young.update(zip(words, map(told.__getitem__, stems), strict=False))
+        self.known.young.update([(w, told[s] + told[t]) for w, s, t in tails])
+
+    def coded(self, stems: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Stems with their ids. Those of plain letters are single words to the tokenizer, so texts of many are encoded and split at word ends."""
+        plain = PLAIN.findall(b"\n".join(stems))
+        for at in range(0, len(plain), TOGETHER):
+            some = plain[at : at + TOGETHER]
+            ids = np.array(self.plain.encode(b" ".join(some).decode().lower(), add_special_tokens=False).ids, "<u4")
             ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
             raw = ids.tobytes()
-            yield from zip(plain, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True)
-        if others:
-            for stem, coded in zip(others, self.tokenizer.encode_batch_fast([x.decode() for x in others], add_special_tokens=False), strict=True):
-                yield stem, np.array(coded.ids, "<u4").tobytes()
+            yield from zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True)
+        others = list(stems.difference(plain))
+        yield from zip(others, self.whole(others), strict=True)
+
+    def whole(self, words: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(words), TOGETHER):
+            for code in self.tokenizer.encode_batch_fast([x.decode() for x in words[at : at + TOGETHER]], add_special_tokens=False):
+                yield np.array(code.ids, "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        split = [t.encode("utf-8", "replace").split() for t in texts]
+        if new := self.known.missing(set().union(*split)):
+            self.learn(new)
+        known = self.known.young
+        return [b"".join([known[w] for w in words]) for words in split]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = text.encode("utf-8", "replace").split()
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-        return b"".join([known[w] for w in words])
+        """One text of any length: its words are looked up part by part."""
+        return b"".join([self.encode_batch([x])[0] for x in word_parts(text, PART)])
+
+
+def word_parts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` characters that end before ASCII white space."""
+    at = 0
+    while len(text) - at > size and (cut := re.compile(r"[ \t-\r]").search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
 
 
 @lru_cache(maxsize=1)
@@ -108,10 +155,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, step = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in slices(batches):
+        for batch in slices(batches, ROWS):
             ids, piece, start, length, code = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = coder.encode(text) + end
+            found = batch.column(1).to_pylist()
+            codes = coder.encode_batch(found) if sum(map(len, found)) <= 4 * PART else map(coder.encode, found)
+            for doc, raw in zip(batch.column(0).to_pylist(), codes, strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), step)):
                     ids.append(doc)
                     piece.append(k)
