@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import slices, texts
+from millrace.llm.common import alone, slices, texts
 
 SHARD_DOCS = 50_000
 #: words and stems whose ids a worker remembers; when a memory is full, its older half is forgotten
@@ -154,7 +154,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, step = word_tokenizer(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        coder, end, step = alone(word_tokenizer)(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in slices(batches, ROWS):
             ids, piece, start, length, code = [], [], [], [], []
             found = batch.column(1).to_pylist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Iterator
@@ -44,9 +45,40 @@ def checkpointed(df: DataFrame, files: int | None = None) -> DataFrame:
     return (df if files is None else df.coalesce(max(1, files))).checkpoint(eager=True)
 
 
+_HELD: list[DataFrame] = []
+
+
 def held(df: DataFrame) -> DataFrame:
     """Kept for reuse in memory or on executors' disks; what a lost executor held is computed anew from its lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
+def release() -> None:
+    """Lets go of all that was held so far; what still needs it computes it anew."""
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
+_REMEMBERED: list = []
+
+
+def alone(cached=None):
+    """Workers serve one operator after another: when another starts, what the earlier one remembers (an lru_cache) goes."""
+    while _REMEMBERED and _REMEMBERED[-1] is not cached:
+        _REMEMBERED.pop().cache_clear()
+    if cached is not None and not _REMEMBERED:
+        _REMEMBERED.append(cached)
+    return cached
+
+
+def release_memory() -> None:
+    """At the end of a task: freed memory goes back to the system, where the C library can do that."""
+    alone()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 #: what is broadcast is counted first, and at most this large; beyond it a sort-merge join takes over

@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded, checkpointed, few_files, held, slices, texts
+from millrace.llm.common import bounded, checkpointed, few_files, held, release_memory, slices, texts
 from millrace.llm.components import components
+from millrace.llm.shingles import majority, mixed, shingle_sets
 
 BLOCK_ROWS = 4096
 FANOUT = 8
@@ -34,8 +35,8 @@ CHUNK_ROWS, SEARCHES = 1 << 17, 256
 SAMPLE_ROWS, COMMON_SEEN, COMMON = 8000, 3, 200_000
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42, distinct: bool = False) -> int:
-    """Unsigned 64 bits: bit set where more than half of the (distinct) shingles' XXH64 have it; zero without words."""
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """Unsigned 64 bits: bit set where more than half of the shingles' XXH64 have it; zero without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
@@ -45,15 +46,7 @@ def fingerprint(text: str, shingle: int = 3, seed: int = 42, distinct: bool = Fa
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_digest
     grams = [joined[i:j] for i, j in zip(starts, stops, strict=True)]
-    if distinct:
-        grams = list(dict.fromkeys(grams))
-        n = len(grams)
-    packed = b"".join([digest(g, seed) for g in grams])
-    hashes = np.frombuffer(packed, np.uint8).reshape(n, 8)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return majority(np.frombuffer(b"".join([digest(g, seed) for g in grams]), np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -241,49 +234,59 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(of_word, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _grams(text: str, shingle: int) -> list[bytes]:
-    """Shingles of words in lower case; fewer words than a shingle, or none, make one."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1] + 1))[:n].tolist()
-    stops = ends[-n:].tolist() or [0]
-    return [joined[i:j] for i, j in zip(starts, stops, strict=True)]
+def _similar(least: float):
+    """Keeps pairs (a, b, set_a, set_b), sets being sorted shingle hashes, of at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+                both.sort(kind="stable")  # two sorted runs: a merge
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared >= least * (len(both) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release_memory()
 
+    return run
 
-def shingle_hashes(text: str, shingle: int) -> np.ndarray:
-    """The text's set of shingles as sorted hashes of 64 bits."""
-    digest = xxhash.xxh3_64_digest
-    return np.unique(np.frombuffer(b"".join([digest(g) for g in _grams(text, shingle)]), np.uint64))
 
+def _sets(shingle: int):
+    """(row, set) of (row, text)."""
 
-def _similar(shingle: int, least: float):
-    """Keeps pairs (a, b, text_a, text_b) whose sets of word shingles have at least that Jaccard similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)[0]], pa.binary())], ["row", "set"])
 
-    def shingles(text: str) -> set[bytes]:
-        return set(map(xxhash.xxh3_128_digest, _grams(text, shingle)))
+    return run
+
+
+def _prints(shingle: int, seeds: tuple[int, ...]):
+    """(row, doc_id, 128 bits of the shingle set, fingerprint over distinct words for each seed) of (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = shingles(x), shingles(y)
-                keep.append(len(x & y) >= least * len(x | y))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets, words, counts = shingle_sets(batch.column(2).to_pylist(), shingle)
+            ends = np.cumsum(counts)
+            own = [np.unique(words[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            fps = [majority(mixed(w + np.uint64(seed))) for w in own for seed in seeds]
+            digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets]), np.int64).reshape(-1, 2)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(np.array(fps, np.uint64).view(np.int64)), len(seeds)).cast(pa.list_(pa.int64()))], ["row", "doc_id", "s1", "s2", "fps"])
+        release_memory()
 
     return run
 
 
 def common_shingles(rows: DataFrame, n: int, shingle: int) -> np.ndarray:
-    """Hashes of frequent shingles, the rarest first, by a sample of the n rows. Only the order of prefixes depends on it."""
+    """Hashes of frequent shingles, the rarest first, by a sample of the n rows (row, text). Only the order of prefixes depends on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            found = shingle_sets(batch.column(1).to_pylist(), shingle)[0]
             yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     one_of = max(1, n // max(SAMPLE_ROWS, n // 100))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    some = rows.where(F.pmod(F.xxhash64("row"), F.lit(one_of)) == 0)
     counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_SEEN)
     top = counts.orderBy(F.desc("n"), "h").limit(COMMON).select("h").toArrow().column("h").to_numpy()
     return top[::-1].astype(np.int64).view(np.uint64)
@@ -300,19 +303,20 @@ def prefix(hashes: np.ndarray, least: float, common: np.ndarray, rank: np.ndarra
 
 
 def _prefixes(shingle: int, least: float, common: np.ndarray):
-    """(token, doc_id, root, size << 32 | place) of the prefix of each (doc_id, text, root)."""
+    """(token, row, root, size << 32 | place) of the prefix of each (row, text, root)."""
     order = np.argsort(common)
     known = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
+            sets = shingle_sets(batch.column(1).to_pylist(), shingle)[0]
             tokens = [prefix(h, least, known, order) for h in sets]
             many = np.fromiter(map(len, tokens), np.int64, len(tokens))
             place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             size = np.repeat(np.fromiter(map(len, sets), np.int64, len(sets)), many)
             told = [np.repeat(batch.column(c).to_numpy(), many) for c in (0, 2)]
-            yield pa.record_batch([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), *told, size << 32 | place)], ["token", "doc_id", "root", "shape"])
+            yield pa.record_batch([pa.array(x) for x in (np.concatenate(tokens).view(np.int64), *told, size << 32 | place)], ["token", "row", "root", "shape"])
+        release_memory()
 
     return run
 
@@ -370,52 +374,74 @@ def _meetings(least: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
-    """(doc_id, component_id) of documents that belong to a group of near-duplicates, the group's smallest doc_id included.
+def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
+    """(row, doc_id, component_id, kept) of the rows (row long, unique; doc_id long; text string) that belong to a group of near-duplicates.
 
-    Two documents are linked if their sets of word shingles have at least the given Jaccard similarity,
-    and every such pair ends in one group (up to equal 64-bit hashes). Documents of equal sets are one.
-    Candidates of a first round are pairs whose fingerprints over distinct words differ in at most
-    max_bits bits for one of the seeds, one partner a block; it only joins large groups early. The
-    second round meets documents of different groups in all shingles of their prefixes (the rarest
-    fifth, at 0.8), which similar sets must share. Each pair of both rounds is verified by its shingle
-    sets. Documents without id belong to no group; texts without words are similar to each other.
-    """
-    every = texts(docs, id_col, text_col).where("doc_id is not null")
+    Two texts are linked if their sets of word shingles have at least the given Jaccard similarity, and
+    every such pair ends in one group (up to equal 64-bit hashes). Of a group the row with the smallest
+    (doc_id, row) is kept, ids before null; component_id is its doc_id.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            held_ = batch.column(1).to_pylist()
-            found = [[fingerprint(t, 1, seed, distinct=True) for seed in seeds] for t in held_]
-            sets = np.frombuffer(b"".join([xxhash.xxh3_128_digest(shingle_hashes(t, shingle).tobytes()) for t in held_]), np.int64).reshape(-1, 2)
-            flat = np.array(found, np.uint64).reshape(-1).view(np.int64)
-            yield pa.record_batch([pa.array(np.repeat(c, len(seeds))) for c in (batch.column(0).to_numpy(), sets[:, 0], sets[:, 1])] + [pa.array(flat)], ["doc_id", "s1", "s2", "fp"])
+    Rows of equal sets are one. Candidates of a first round are pairs whose fingerprints over distinct
+    words differ in at most max_bits bits for one of the seeds, one partner a block; it joins large
+    groups early. The second round meets texts of different groups in all shingles of their prefixes
+    (the rarest fifth, at 0.8), which similar sets must share. Each pair of both rounds is verified by
+    its sets. Texts without words are similar to each other; an empty table gives an empty result.
+    """
+    spark = rows.sparkSession
+    few = few_files(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         # cut here: plans that hold plans of persisted tables grow on the driver
-        pairs = checkpointed(pairs, few_files(docs.sparkSession))
+        pairs = checkpointed(pairs, few)
         n = pairs.count()
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        told = every.join(bounded(ids, 2 * n, 16), every["doc_id"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot document's pairs
-        of = lambda side: told.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
-        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
-        return checkpointed(checked, few_files(docs.sparkSession))
-
-    prints = held(every.mapInArrow(run, "doc_id long, s1 long, s2 long, fp long"))
-    n = prints.count() // len(seeds)
-    least = prints.groupBy("s1", "s2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most")).where("b <> most").drop("most")
-    equal = checkpointed(prints.join(least, ["s1", "s2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), few_files(docs.sparkSession))
-    first = held(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        told = rows.join(bounded(ids, 2 * n, 16), rows["row"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot text's pairs
+        told = told.select("row", "text").mapInArrow(_sets(shingle), "row long, set binary")
+        of = lambda side: told.select(F.col("row").alias(side), F.col("set").alias(f"set_{side}"))
+        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar(similarity), "a long, b long")
+        return checkpointed(checked, few)
+
+    prints = held(rows.select("row", "doc_id", "text").mapInArrow(_prints(shingle, seeds), "row long, doc_id long, s1 long, s2 long, fps array<long>"))
+    n = prints.count()
+    least = prints.groupBy("s1", "s2").agg(F.min("row").alias("b"), F.max("row").alias("most")).where("b <> most").drop("most")
+    equal = checkpointed(prints.join(least, ["s1", "s2"]).where("row <> b").select(F.col("row").alias("a"), "b"), few)
+    gone = bounded(equal.select(F.col("a").alias("row")), equal.count(), 32)
+    single = prints.join(gone, "row", "left_anti").select("row", F.explode("fps").alias("fp"))
+    first = held(single.groupBy("fp").agg(F.min("row").alias("first")))
     links = fingerprint_links(first.select("fp"), max_bits, direct=True).distinct()
-    named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"doc_{side}"))
-    across = links.join(named("a"), "a").join(named("b"), "b").select("doc_a", "doc_b")
-    within = prints.join(first, "fp").select(F.col("doc_id").alias("doc_a"), F.col("first").alias("doc_b"))
-    pairs = across.unionByName(within).where("doc_a <> doc_b").select(F.greatest("doc_a", "doc_b").alias("a"), F.least("doc_a", "doc_b").alias("b")).distinct()
+    named = lambda side: first.select(F.col("fp").alias(side), F.col("first").alias(f"row_{side}"))
+    across = links.join(named("a"), "a").join(named("b"), "b").select("row_a", "row_b")
+    within = single.join(first, "fp").select(F.col("row").alias("row_a"), F.col("first").alias("row_b"))
+    pairs = across.unionByName(within).where("row_a <> row_b").select(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).distinct()
     early = verified(pairs).unionByName(equal)
-    joined = held(components(early).select(F.col("node").alias("doc_id"), "root"))
-    gone = equal.select(F.col("a").alias("doc_id"))
-    rows = every.join(bounded(gone, gone.count(), 16), "doc_id", "left_anti")
-    rows = rows.join(bounded(joined, joined.count(), 24), "doc_id", "left").select("doc_id", "text", F.coalesce("root", "doc_id").alias("root"))
-    tokens = rows.mapInArrow(_prefixes(shingle, similarity, common_shingles(every, n, shingle)), "token long, doc_id long, root long, shape long")
+    joined = components(early).select(F.col("node").alias("row"), "root")
+    left = rows.select("row", "text").join(gone, "row", "left_anti")
+    left = left.join(bounded(joined, 2 * early.count(), 32), "row", "left").select("row", "text", F.coalesce("root", "row").alias("root"))
+    tokens = left.mapInArrow(_prefixes(shingle, similarity, common_shingles(rows.select("row", "text"), n, shingle)), "token long, row long, root long, shape long")
     met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), "a long, b long").distinct()
-    return components(early.unionByName(verified(met))).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    every = early.unionByName(verified(met))
+    groups = components(every)
+    members = prints.select("row", "doc_id").join(bounded(groups, 2 * every.count(), 32), prints["row"] == groups["node"]).select("row", "doc_id", "root")
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    return members.join(best, "root").select("row", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """(doc_id, component_id, kept) of the rows that belong to a group of near-duplicates; see near_rows.
+
+    Null texts count as empty. Rows that share an id are told apart; one without id is never the
+    smallest. Other columns are ignored whatever their names.
+    """
+    return near_rows(numbered(docs, id_col, text_col), **settings).select("doc_id", "component_id", "kept")
+
+
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text): row is the place of a row in its scan, the same whenever the same files are read."""
+    return texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """docs, all its columns, without the rows that near_rows doesn't keep."""
+    dropped = checkpointed(near_rows(numbered(docs, id_col, text_col), **settings).where("not kept").select(F.col("row").alias("_row")), few_files(docs.sparkSession))
+    named = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[docs[c] for c in docs.columns]).alias("_kept"))
+    return named.join(bounded(dropped, dropped.count(), 32), "_row", "left_anti").select(*[F.col("_kept").getField(c).alias(c) for c in docs.columns])

@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import held, shuffle_partitions
+from millrace.llm.common import held, release_memory, shuffle_partitions
 
 LENGTH, K = 100, 40
 SPAN = LENGTH - K + 1  # K-grams in a window
 BLOCK = 1 << 18  # windows of a document that are treated at once
 FLUSH_ROWS = 600_000
-TEXT_BYTES = 1 << 21  # of one suffix array
+TEXT_BYTES = 1 << 20  # of one suffix array
 GROUP_ROWS = 10_000
 PARTITION_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
@@ -187,6 +187,7 @@ def _anchor(owners: int):
                     parts, size = [], 0
         if parts:
             yield from send(parts)
+        release_memory()
 
     return run
 
@@ -219,6 +220,7 @@ def _meet(group_rows: int):
             rows = first[wanted]
             if len(rows):
                 yield batch_of(kind, rows["h"].view(np.int64), rows["doc"], rows["tag"], rows["at"].astype(np.int64), rows["n"].astype(np.int64), rows["off"].astype(np.int32))
+        release_memory()
 
     return run
 
@@ -367,6 +369,7 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, again = once(np.concatenate(digests))
         if len(again):
             yield repeated(again, 1)
+    release_memory()
 
 
 def _finish(whole_chars: bool, names: list[str]):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, texts
+from millrace.llm.common import alone, slices, texts
 
 #: bounds of the training sample
 POSITIVES, NEGATIVES = 3000, 5000
@@ -322,7 +322,7 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     """(doc_id, score) for every row; null counts as empty. Without a model (nothing to learn from) every score is 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = scorer(model)
+        own = alone(scorer)(model)
         for batch in slices(batches):
             held = batch.column(1).to_pylist()
             yield pa.record_batch([batch.column(0), pa.array(own.scores(held) if model else np.zeros(len(held)), pa.float64())], ["doc_id", "score"])
