@@ -99,18 +99,16 @@ def shingle_sets(texts: list[str], shingle: int) -> tuple[list[np.ndarray], np.n
     Fewer words than a shingle, or none, make one shingle.
     """
     words, counts = word_hashes(texts)
-    # each text's words, then shingle - 1 empty places, so that no shingle crosses texts
-    room = counts + shingle - 1
-    last = np.cumsum(room)
+    # each text's words (or one empty place), then shingle - 1 empty places, so that no shingle crosses texts
+    room = np.maximum(counts, 1) + shingle - 1
+    first = np.cumsum(room) - room
     padded = np.zeros(int(room.sum()) + shingle, np.uint64)
-    padded[np.arange(len(words)) + np.repeat(np.arange(len(texts)) * (shingle - 1), counts)] = words
+    padded[np.arange(len(words)) + np.repeat(first - (np.cumsum(counts) - counts), counts)] = words
     n = len(padded) - shingle
     grams = padded[:n].copy()
     for j in range(1, shingle):
         grams = mixed(grams * M1 + padded[j : j + n])
-    first, many = last - room, np.maximum(counts - shingle + 1, 1)
-    if shingle == 1:  # a text without words has no place of its own
-        return [np.unique(grams[a : a + k]) if c else np.zeros(1, np.uint64) for a, k, c in zip(first.tolist(), many.tolist(), counts.tolist(), strict=True)], words, counts
+    many = np.maximum(counts - shingle + 1, 1)
     return [np.unique(grams[a : a + k]) for a, k in zip(first.tolist(), many.tolist(), strict=True)], words, counts
 
 

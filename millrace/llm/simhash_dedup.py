@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm.common import bounded, checkpointed, few_files, held, release_memory, slices, texts
 from millrace.llm.components import components
@@ -234,14 +235,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(of_word, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _similar(least: float):
-    """Keeps pairs (a, b, set_a, set_b), sets being sorted shingle hashes, of at least that Jaccard similarity."""
+def _similar(shingle: int, least: float):
+    """Keeps pairs (a, b, text_a, text_b) whose sets of word shingles have at least that Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
+        for batch in slices(batches):
+            own, keep = batch.column(2).to_pylist(), []
+            other = batch.column(3).to_pylist()
+            at = {t: i for i, t in enumerate(dict.fromkeys(own + other))}  # a text may be in many pairs
+            sets = shingle_sets(list(at), shingle)[0]
+            for x, y in zip(own, other, strict=True):
+                both = np.concatenate((sets[at[x]], sets[at[y]]))
                 both.sort(kind="stable")  # two sorted runs: a merge
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(shared >= least * (len(both) - shared))
@@ -251,16 +255,6 @@ def _similar(least: float):
     return run
 
 
-def _sets(shingle: int):
-    """(row, set) of (row, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), shingle)[0]], pa.binary())], ["row", "set"])
-
-    return run
-
-
 def _prints(shingle: int, seeds: tuple[int, ...]):
     """(row, doc_id, 128 bits of the shingle set, fingerprint over distinct words for each seed) of (row, doc_id, text)."""
 
@@ -384,21 +378,20 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
     Rows of equal sets are one. Candidates of a first round are pairs whose fingerprints over distinct
     words differ in at most max_bits bits for one of the seeds, one partner a block; it joins large
     groups early. The second round meets texts of different groups in all shingles of their prefixes
-    (the rarest fifth, at 0.8), which similar sets must share. Each pair of both rounds is verified by
-    its sets. Texts without words are similar to each other; an empty table gives an empty result.
+    (the rarest fifth, at 0.8), which similar sets must share. Each pair of both rounds that could still
+    join two groups is verified by its sets: first two partners of each text, then of what that leaves
+    open many times more, until nothing is open. Texts without words are similar to each other; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     few = few_files(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # cut here: plans that hold plans of persisted tables grow on the driver
-        pairs = checkpointed(pairs, few)
+        """pairs comes from a checkpoint: plans that hold plans of persisted tables grow on the driver."""
         n = pairs.count()
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         told = rows.join(bounded(ids, 2 * n, 16), rows["row"] == ids["id"], "left_semi")  # no aggregation: Spark can then split a hot text's pairs
-        told = told.select("row", "text").mapInArrow(_sets(shingle), "row long, set binary")
-        of = lambda side: told.select(F.col("row").alias(side), F.col("set").alias(f"set_{side}"))
-        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_similar(similarity), "a long, b long")
+        of = lambda side: told.select(F.col("row").alias(side), F.col("text").alias(f"text_{side}"))
+        checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
         return checkpointed(checked, few)
 
     prints = held(rows.select("row", "doc_id", "text").mapInArrow(_prints(shingle, seeds), "row long, doc_id long, s1 long, s2 long, fps array<long>"))
@@ -413,13 +406,22 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
     across = links.join(named("a"), "a").join(named("b"), "b").select("row_a", "row_b")
     within = single.join(first, "fp").select(F.col("row").alias("row_a"), F.col("first").alias("row_b"))
     pairs = across.unionByName(within).where("row_a <> row_b").select(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).distinct()
-    early = verified(pairs).unionByName(equal)
+    early = verified(checkpointed(pairs, few)).unionByName(equal)
     joined = components(early).select(F.col("node").alias("row"), "root")
     left = rows.select("row", "text").join(gone, "row", "left_anti")
     left = left.join(bounded(joined, 2 * early.count(), 32), "row", "left").select("row", "text", F.coalesce("root", "row").alias("root"))
     tokens = left.mapInArrow(_prefixes(shingle, similarity, common_shingles(rows.select("row", "text"), n, shingle)), "token long, row long, root long, shape long")
     met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), "a long, b long").distinct()
-    every = early.unionByName(verified(met))
+    every, open_, many = early, checkpointed(met, few), 2
+    while not open_.isEmpty():
+        first_ones = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        tried = checkpointed(open_.withColumn("k", first_ones).where(F.col("k") <= many).select("a", "b"), few)
+        every = every.unionByName(verified(tried))
+        joined = held(components(every))
+        root_of = lambda side: bounded(joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), joined.count(), 32)  # noqa: E731,B023
+        left = open_.join(tried, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+        open_ = checkpointed(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few)
+        many *= 32
     groups = components(every)
     members = prints.select("row", "doc_id").join(bounded(groups, 2 * every.count(), 32), prints["row"] == groups["node"]).select("row", "doc_id", "root")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
