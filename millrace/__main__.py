@@ -72,7 +72,7 @@ def documents(a: argparse.Namespace, text: str) -> Iterator[Any]:
 def through_spark(a: argparse.Namespace, program: str, given: dict[str, Any]) -> Iterator[tuple[str | None, str | None]]:
     from pyspark.sql import SparkSession
 
-    from millrace.api import interpret, slurp
+    from millrace.api import interpret, run_documents, slurp
     from millrace.sources.readers import read_json
 
     spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
@@ -82,7 +82,9 @@ def through_spark(a: argparse.Namespace, program: str, given: dict[str, Any]) ->
     if a.null_input or (a.slurp and not a.raw_input):
         out = slurp(docs, program, given, inputs=a.null_input, paths=a.paths)
     else:
-        out = interpret(docs, program, given, a.paths, a.stream, a.stream_errors).orderBy("file", "place", "turn")
+        plain = not (a.stream or a.stream_errors)
+        out = run_documents(docs, program, given, a.paths) if plain else interpret(docs, program, given, a.paths, a.stream, a.stream_errors)
+        out = out.orderBy("file", "place", "turn")
     for row in out.toLocalIterator():
         yield row["value"], row["error"]
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from millrace.functions.builtins import Inputs
 from millrace.functions.values import Problem, from_json, to_json
 from millrace.lang.syntax import parse
 from millrace.operators.interpreter import compile_program
-from millrace.plans import frames
+from millrace.plans import frames, texts
 from millrace.plans.typed import NotNative
 from millrace.sources.readers import rows_as_json
 
+#: rows of another table that a program without relational form may take in
+GATHERED_ROWS = 100_000
 OUTPUT = "file string, place long, turn int, value string, error string"
 
 
@@ -62,6 +66,30 @@ def interpret(docs: DataFrame, program: str, variables: dict[str, Any] | None =
     return docs.select("file", "place", "doc").mapInArrow(run, OUTPUT)
 
 
+def run_documents(docs: DataFrame, program: str, variables: dict[str, Any] | None = None, paths: Iterable[str] = (), plan: str = "auto") -> DataFrame:
+    """(file, place, turn, value, error) of a program over documents (file, place, doc); see interpret.
+
+    plan auto evaluates what it can as Column expressions over the parsed document, and gives the interpreter
+    only the documents whose outputs that leaves in doubt. native has an error row for each of those instead,
+    and is an error if the program has no such form; interpreted gives all to the interpreter.
+    """
+    tree = parse(program)
+    if plan != "interpreted":
+        try:
+            done = texts.compiled(docs, tree, variables)
+        except NotNative:
+            if plan == "native":
+                raise
+        else:
+            left = texts.others(done)
+            if plan == "native":
+                doubtful = left.select("file", "place", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("value"), F.lit("this document needs the interpreter").alias("error"))
+            else:
+                doubtful = interpret(left, program, variables, paths)
+            return texts.native_outputs(done).unionByName(doubtful)
+    return interpret(docs, program, variables, paths)
+
+
 def query(df: DataFrame, program: str, variables: dict[str, Any] | None = None, mode: str = "auto", paths: Iterable[str] = ()) -> DataFrame:
     """A program that runs once for every row of a table.
 
@@ -82,7 +110,8 @@ def query_all(df: DataFrame, program: str, variables: dict[str, Any] | None = No
     """A program whose input is the array of all rows (as with ``--slurp``).
 
     tables are other tables, named $t in the program; order names columns that give the rows' order.
-    Without a relational form the rows are gathered in order into one task, which suits small tables only.
+    Without a relational form the rows are gathered in order into one task, which suits small tables only;
+    the other tables are then gathered too, and more than GATHERED_ROWS rows of one are an error.
     """
     tree = parse(program)
     if mode != "interpreted":
@@ -93,7 +122,10 @@ def query_all(df: DataFrame, program: str, variables: dict[str, Any] | None = No
                 raise
     known = dict(variables or {})
     for name, table in (tables or {}).items():
-        known[name] = [json.loads(r["doc"]) for r in rows_as_json(table).orderBy("place").collect()]
+        found = rows_as_json(table).orderBy("place").limit(GATHERED_ROWS + 1).collect()
+        if len(found) > GATHERED_ROWS:
+            raise ValueError(f"${name} has more than {GATHERED_ROWS} rows, and this program has no relational form")
+        known[name] = [json.loads(r["doc"]) for r in found]
     sorted_ = df.orderBy(*order) if order else df
     return slurp(rows_as_json(sorted_), program, known).where("error is null").select("value")
 
@@ -121,18 +153,20 @@ def slurp(docs: DataFrame, program: str, variables: dict[str, Any] | None = None
     return docs.orderBy("file", "place").select("doc").coalesce(1).mapInArrow(run, OUTPUT)
 
 
-def query_json(spark: SparkSession, path, program: str, mode: str = "auto", slurped: bool = False, null_input: bool = False, variables: dict[str, Any] | None = None, paths: Iterable[str] = (), stream_events: bool = False) -> DataFrame:
-    """A program over JSON files; see interpret for the result. mode is that of read_json."""
+def query_json(spark: SparkSession, path, program: str, mode: str = "auto", slurped: bool = False, null_input: bool = False, variables: dict[str, Any] | None = None, paths: Iterable[str] = (), stream_events: bool = False, plan: str = "auto") -> DataFrame:
+    """A program over JSON files; see interpret for the result, run_documents for plan. mode is that of read_json."""
     from millrace.sources.readers import read_json
 
     docs = read_json(spark, path, mode)
     if slurped or null_input:
         return slurp(docs, program, variables, inputs=null_input and not slurped, paths=paths)
-    return interpret(docs, program, variables, paths, stream_events)
+    if stream_events:
+        return interpret(docs, program, variables, paths, stream_events)
+    return run_documents(docs, program, variables, paths, plan)
 
 
 def named_arguments(named: dict[str, Any], positional: Iterable[Any] = ()) -> dict[str, Any]:
-    """Variables with $ARGS and $__prog_args beside them."""
+    """Variables with $ARGS and $ENV beside them."""
     return {**named, "ARGS": {"positional": list(positional), "named": named}, "ENV": dict(os.environ)}
 
 
@@ -144,14 +178,30 @@ def exit_status(outputs: DataFrame) -> int:
     return 4 if not last else int(last[0]["value"] in ("null", "false"))
 
 
+@lru_cache(maxsize=256)
+def _compiled(program: str):
+    return compile_program(program)
+
+
 def register(spark: SparkSession, name: str = "jsonq") -> None:
-    """A SQL function name(doc, program) with the array of outputs, for use in SQL."""
+    """A SQL function name(doc, program) with the array of outputs, for use in SQL; null for a null document, and after an error the outputs before it.
 
-    @F.udf("array<string>", useArrow=True)
-    def outputs(doc: str, program: str) -> list[str]:
-        try:
-            return [to_json(x) for x in compile_program(program)(from_json(doc))]
-        except Problem:
-            return []
+    Programs are compiled once in a worker, not once for every row.
+    """
+
+    @F.pandas_udf("array<string>")
+    def outputs(docs: pd.Series, programs: pd.Series) -> pd.Series:
+        def one(doc: str | None, program: str) -> list[str] | None:
+            if doc is None or program is None:
+                return None
+            out: list[str] = []
+            try:
+                for x in _compiled(program)(from_json(doc)):
+                    out.append(to_json(x))
+            except Problem:
+                pass
+            return out
+
+        return pd.Series([one(d, p) for d, p in zip(docs, programs, strict=True)], dtype=object)
 
     spark.udf.register(name, outputs)

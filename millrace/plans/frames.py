@@ -197,8 +197,7 @@ def aggregate(node: Node, rows: Rows, keys: dict[str, tuple[Node, Column]], orde
     if item is not None and len(steps) > 1:
         return _folded(steps[1:], item, test)
     if item is not None and len(steps) == 1:
-        listed = F.collect_list(F.when(test, item.column())) if test is not None else F.collect_list(item.column())
-        return Typed(listed, T.ArrayType(item.type))
+        return Typed(_unboxed(F.collect_list(_boxed(item.column(), test))), T.ArrayType(item.type))
     raise NotNative("aggregate")
 
 
@@ -256,23 +255,41 @@ def _folded(steps: list[Node], item: Typed, test: Column | None) -> Typed:
     if names == ["length"]:
         return Typed(F.count(F.lit(1)) if test is None else F.count_if(test), LONG)
     if names in (["min"], ["max"]):
-        return Typed((F.min if names == ["min"] else F.max)(col), item.type)
+        # null is the least value; Spark's aggregates pass over it, which only suits max
+        return Typed(F.max(col) if names == ["max"] else F.when(~F.coalesce(F.bool_or(_is_null(item, test)), F.lit(False)), F.min(col)), item.type)
     if names == ["unique", "length"]:
-        return Typed(F.count_distinct(col), LONG)
-    if names == ["unique"]:
-        return Typed(F.sort_array(F.collect_set(col)), T.ArrayType(item.type))
-    if names == ["sort"]:
-        return Typed(F.sort_array(F.collect_list(col)), T.ArrayType(item.type))
+        return Typed(F.count_distinct(col) + F.coalesce(F.bool_or(_is_null(item, test)), F.lit(False)).cast("long"), LONG)
+    if names in (["unique"], ["sort"]):
+        gather = F.collect_set if names == ["unique"] else F.collect_list
+        return Typed(_unboxed(F.sort_array(gather(_boxed(item.column(), test)))), T.ArrayType(item.type))
     if names in (["any"], ["all"]):
         t = truth(item) if test is None else F.when(test, truth(item))
         return Typed(F.coalesce((F.bool_or if names == ["any"] else F.bool_and)(t), F.lit(names == ["all"])), BOOLEAN)
     raise NotNative("fold")
 
 
+def _is_null(item: Typed, test: Column | None) -> Column:
+    return item.column().isNull() if test is None else test & item.column().isNull()
+
+
+def _boxed(col: Column, test: Column | None) -> Column:
+    """In a struct of its own a null is gathered like any other value."""
+    box = F.struct(col.alias("v"))
+    return box if test is None else F.when(test, box)
+
+
+def _unboxed(boxes: Column) -> Column:
+    return F.transform(boxes, lambda x: x["v"])
+
+
 def _extreme(call: Node, then: Node, rows: Rows) -> Typed:
-    key = scalar(call[2][0], rows.value, rows.scope)
+    """min_by and max_by: a null key is the least; Spark passes over such rows."""
+    key = scalar(call[2][0], rows.value, rows.scope).column()
     out = scalar(then, rows.value, rows.scope)
-    return Typed((F.min_by if call[1] == "min_by" else F.max_by)(out.column(), key.column()), out.type)
+    if call[1] == "max_by":
+        return Typed(F.when(F.count(key) == 0, F.first(out.column())).otherwise(F.max_by(out.column(), key)), out.type)
+    least = F.first(F.when(key.isNull(), out.column()), ignorenulls=True)
+    return Typed(F.when(F.bool_or(key.isNull()), least).otherwise(F.min_by(out.column(), key)), out.type)
 
 
 def _keys(node: Node) -> list[Node]:
@@ -482,7 +499,7 @@ def _call(w: Whole, name: str, args: tuple, rest: list[Node]) -> Whole | Rows:
             node = ("pipe", ("call", "map", (("identity",),)), node)
         return _row_steps(_aggregated(w, node), rest)
     if name == "JOIN":
-        return run_whole(lookup(w, args), rest)
+        return run_whole(lookup(w, args, _read_of_match(rest)), rest)
     if name == "limit" and args[1] == ("each", ("identity",)) and args[0][0] == "literal":
         if not w.order:
             raise NotNative("rows have no order")
@@ -557,8 +574,24 @@ def _top_per_group(w: Whole, parts: list[Node], node: Node) -> Rows | None:
     return _row_steps(replace(rows, df=rows.df.withColumn("$at", at).filter(F.col("`$at`") <= n)), rest)
 
 
-def lookup(w: Whole, args: tuple) -> Whole:
-    """JOIN($t | INDEX(k); f): every row beside the last row of t with that key, or null."""
+def _read_of_match(rest: list[Node]) -> set[str] | None:
+    """The fields of .[1] that map(f) after a JOIN reads, if it reads nothing else of the pair but fields; else None."""
+    names: set[str] = set()
+
+    def plain(node) -> bool:
+        if not isinstance(node, tuple):
+            return True
+        if node[:1] == ("index",) and node[1] in (("index", ("identity",), ("literal", 0)), ("index", ("identity",), ("literal", 1))) and node[2][0] == "literal" and isinstance(node[2][1], str):
+            if node[1][2][1] == 1:
+                names.add(node[2][1])
+            return True
+        return node[:1] not in (("identity",), ("pipe",), ("each",), ("bind",), ("call",), ("var",), ("reduce",), ("foreach",), ("assign",), ("def",)) and all(map(plain, node))
+
+    return names if rest and rest[0][:2] == ("call", "map") and plain(rest[0][2][0]) else None
+
+
+def lookup(w: Whole, args: tuple, fields: set[str] | None = None) -> Whole:
+    """JOIN($t | INDEX(k); f): every row beside a row of t with that key, or null; of t only the named fields are read."""
     index, key = args[0], args[-1]
     first, *more = stages(index)
     if first[0] != "var" or first[1] not in (w.tables or {}) or len(more) != 1 or more[0][0] != "call" or more[0][1] != "INDEX":
@@ -567,10 +600,13 @@ def lookup(w: Whole, args: tuple) -> Whole:
     right = scalar(more[0][2][0], other.value, other.scope)
     left = scalar(key, w.rows.value, w.rows.scope)
     # keys are unique as object keys are: one row each
-    table = other.df.groupBy(right.column().alias("$key")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in other.df.columns])).alias("$row"))
+    kept = [c for c in other.df.columns if fields is None or c in fields] or other.df.columns[:1]
+    kind = T.StructType([other.df.schema[c] for c in kept])
+    table = other.df.groupBy(right.column().alias("$key")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in kept])).alias("$row"))
     df = w.rows.df.join(table, left.column() == F.col("`$key`"), "left")
-    pair = record({"0": w.rows.value, "1": Typed(F.col("`$row`"), other.df.schema)})
-    return replace(w, rows=Rows(df, Pair(pair.col, pair.type, pair.fields, (w.rows.value, Typed(F.col("`$row`"), other.df.schema))), w.rows.scope), order=())
+    match = Typed(F.col("`$row`"), kind)
+    pair = record({"0": w.rows.value, "1": match})
+    return replace(w, rows=Rows(df, Pair(pair.col, pair.type, pair.fields, (w.rows.value, match)), w.rows.scope), order=())
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.api import interpret, query, query_all
+from millrace.api import interpret, query, query_all, run_documents
 from millrace.sources.readers import rows_as_json
 
 
@@ -123,6 +123,11 @@ QUERIES: dict[str, Query] = {
     "last_sorted": whole("supplier", "sort_by(.s_acctbal) | last | .s_acctbal", "SELECT max(s_acctbal) AS value FROM supplier"),
     "running": whole("events", "[foreach .[] as $e (0; . + $e.user_id; {id: $e.event_id, sum: .})]", "SELECT event_id AS id, (sum(user_id) OVER (ORDER BY event_id))::BIGINT AS sum FROM events", order=("event_id",)),
     "reduce": whole("events", 'reduce .[] as $e (0; if $e.event_type == "click" then . + $e.user_id else . end)', "SELECT coalesce(sum(user_id) FILTER (event_type = 'click'), 0)::BIGINT AS value FROM events"),
+    "nulls_min": whole("labels", "map(.toxic) | min", "SELECT CASE WHEN count(*) = count(toxic) THEN min(toxic) END AS value FROM labels"),
+    "nulls_unique": whole("labels", "map(.toxic) | unique | length", "SELECT (count(DISTINCT toxic) + max((toxic IS NULL)::INT))::BIGINT AS value FROM labels"),
+    "nulls_group": whole("labels", "group_by(.toxic) | map({t: .[0].toxic, n: length, q: (map(.quality) | add), least: (map(.quality) | min), kinds: (map(.quality) | unique | length)})", "SELECT toxic AS t, count(*) AS n, sum(quality)::BIGINT AS q, CASE WHEN count(*) = count(quality) THEN min(quality) END AS least, (count(DISTINCT quality) + max((quality IS NULL)::INT))::BIGINT AS kinds FROM labels GROUP BY 1"),
+    "nulls_group_count": whole("labels", "group_by(.toxic) | length", "SELECT count(*) AS value FROM (SELECT DISTINCT toxic FROM labels)"),
+    "nulls_collect": whole("labels", "group_by(.quality) | map({q: .[0].quality, n: (map(.toxic) | length), ids: (map(select(.toxic == null)) | length)})", "SELECT quality AS q, count(*) AS n, count(*) FILTER (toxic IS NULL) AS ids FROM labels GROUP BY 1"),
     "join_index": whole("orders", "JOIN($customer | INDEX(.c_custkey); .o_custkey) | map({o: .[0].o_orderkey, name: .[1].c_name})", "SELECT o_orderkey AS o, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey", tables=("customer",)),
     "join_group": whole("nation", "JOIN($region | INDEX(.r_regionkey); .n_regionkey) | map({region: .[1].r_name, n: .[0].n_nationkey}) | group_by(.region) | map({region: .[0].region, nations: length})", "SELECT r_name AS region, count(*) AS nations FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1", tables=("region",)),
     "semi_join": whole("customer", "[.[] | select(.c_custkey | IN($orders[] | .o_custkey))] | map({c_custkey, c_name})", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)", tables=("orders",)),
@@ -152,6 +157,76 @@ INTERPRETED = {
 }
 
 
+#: further built-ins and forms, each over a table of some size
+INTERPRETED |= {
+    "paths": ("part", '[paths | join(".")] | .[2]', "SELECT '\"p_brand\"' AS value FROM part"),
+    "leaf_paths": ("supplier", "{a: .s_suppkey, b: [.s_name, {c: .s_acctbal}]} | [leaf_paths | length] | add", "SELECT '6' AS value FROM supplier"),
+    "tostream": ("customer", "{k: .c_custkey, s: [.c_mktsegment]} | [tostream] | .[1]", "SELECT '[[\"s\",0],\"' || c_mktsegment || '\"]' AS value FROM customer"),
+    "truncate_stream": ("customer", "[1 | truncate_stream([[0], {a: 1}], [[1, 0], \"x\"], [[1, 0]], [[1]])] | length", "SELECT '2' AS value FROM customer"),
+    "label_break": ("part", ".p_size as $n | [label $out | range(100) | if . > $n then break $out else . end] | length", "SELECT (p_size + 1)::VARCHAR AS value FROM part"),
+    "recurse": ("part", "[.p_size | recurse(if . > 1 then . / 2 | floor else empty end)] | length", "SELECT (floor(log2(p_size)) + 1)::BIGINT::VARCHAR AS value FROM part"),
+    "recurse_default": ("supplier", "[.s_nationkey, [.s_suppkey]] | [..] | length", "SELECT '4' AS value FROM supplier"),
+    "limit_until": ("part", "[limit(3; .p_size | repeat(. * 2))] | add | until(. > 100; . * 2) | . > 100", "SELECT 'true' AS value FROM part"),
+    "while_skip": ("part", "[.p_size | while(. < 100; . * 2)] | [skip(1; .[])] | first // 0", "SELECT CASE WHEN p_size * 2 < 100 THEN p_size * 2 ELSE 0 END::VARCHAR AS value FROM part"),
+    "first_last": ("customer", "[first(.c_nationkey, 99), last(.c_nationkey, 99), nth(1; 5, .c_custkey, 7)]", "SELECT '[' || c_nationkey || ',99,' || c_custkey || ']' AS value FROM customer"),
+    "has_in": ("customer", '[has("c_name"), has("x"), ("c_name" | in({c_name: 1})), ([.c_nationkey] | has(0)), ({a: .c_name} | inside({a: "Customer#000000000 and more", b: 1}))]', "SELECT '[true,false,true,true,' || contains('Customer#000000000 and more', c_name) || ']' AS value FROM customer"),
+    "from_entries": ("customer", '[{key: .c_name, value: .c_custkey}, {name: "n", v: 1}] | from_entries | keys_unsorted | length', "SELECT '2' AS value FROM customer"),
+    "entries_round_trip": ("part", "to_entries | from_entries | .p_brand", "SELECT '\"' || p_brand || '\"' AS value FROM part"),
+    "map_values_del": ("part", "{a: .p_size, b: 2, c: null} | map_values(. + 1) | delpaths([[\"b\"]]) | del(.c) | .a", "SELECT (p_size + 1)::VARCHAR AS value FROM part"),
+    "flatten_depth": ("part", "[.p_partkey, [.p_size, [[7]]]] | [flatten, flatten(1)] | map(length)", "SELECT '[3,3]' AS value FROM part"),
+    "transpose": ("part", "[[.p_partkey, .p_size], [1]] | transpose | .[0] | add", "SELECT (p_partkey + 1)::VARCHAR AS value FROM part"),
+    "bsearch": ("part", "[range(0; 100; 5)] as $a | .p_size as $x | $a | bsearch($x)", "SELECT CASE WHEN p_size % 5 = 0 THEN p_size // 5 ELSE -(p_size // 5) - 2 END::VARCHAR AS value FROM part"),
+    "isempty": ("part", "[isempty(.p_size | select(. > 25)), any(.p_size, 3; . > 30), all(.p_size, 3; . < 40)]", "SELECT '[' || (p_size <= 25) || ',' || (p_size > 30) || ',' || (p_size < 40) || ']' AS value FROM part"),
+    "reverse": ("customer", "[.c_name, .c_custkey] | reverse | .[0]", "SELECT c_custkey::VARCHAR AS value FROM customer"),
+    "selectors": ("labels", "[.doc_id, .toxic, \"s\", [1], {}] | [(map(numbers) | length), (map(strings) | length), (map(nulls) | length), (map(iterables) | length), (map(scalars) | length), (map(values) | length)]", "SELECT CASE WHEN toxic IS NULL THEN '[1,1,1,2,3,4]' ELSE '[2,1,0,2,3,5]' END AS value FROM labels"),
+    "trims": ("customer", '"  " + .c_mktsegment + " " | [(ltrim | length), (rtrim | length), (trim | trimstr("H") | length)]', "SELECT '[' || (len(c_mktsegment) + 1) || ',' || (len(c_mktsegment) + 2) || ',' || (len(c_mktsegment) - (CASE WHEN starts_with(c_mktsegment, 'H') THEN 1 ELSE 0 END)) || ']' AS value FROM customer"),
+    "conversions": ("part", '[(.p_size | tostring | tonumber), (.p_size | tojson), ("true" | toboolean), (65 + (.p_size % 26) | [.] | implode | ascii_downcase | explode | .[0])]', "SELECT '[' || p_size || ',\"' || p_size || '\",true,' || (97 + p_size % 26) || ']' AS value FROM part"),
+    "ascii": ("part", "65 + (.p_size % 26) | ascii", "SELECT '\"' || chr((65 + p_size % 26)::INT) || '\"' AS value FROM part"),
+    "sub_flags": ("part", '[(.p_name | sub("(?<x>[aeiou])"; "<\\(.x)>")), (.p_brand | sub("B"; "b"; "i")), (.p_name | [splits("[ ]+")] | length)]', "SELECT '[\"' || regexp_replace(p_name, '([aeiou])', '<\\1>') || '\",\"' || regexp_replace(p_brand, 'B', 'b') || '\",' || len(string_split(p_name, ' ')) || ']' AS value FROM part"),
+    "formats_more": ("part", '[(.p_size | @json), (.p_name | @text), (.p_name | @uri | @urid), ([.p_partkey, .p_name] | @tsv)] | .[0:3] + [(.[3] | split("\\t") | length)]', "SELECT '[\"' || p_size || '\",\"' || p_name || '\",\"' || p_name || '\",2]' AS value FROM part"),
+    "date_parts": ("orders", '.o_orderkey * 3600 | [(gmtime | mktime), (todate | strptime("%Y-%m-%dT%H:%M:%SZ") | mktime), (localtime | .[0]), (strflocaltime("%Y") | tonumber)] | .[0:2]', "SELECT '[' || o_orderkey * 3600 || ',' || o_orderkey * 3600 || ']' AS value FROM orders"),
+    "math_more": ("part", "[(.p_size | exp2 | log2), (.p_size | -. | abs), (.p_size / 4 | trunc), (.p_size | tan | atan | isnan), (.p_size | exp | log | round), (.p_size | exp10? // 1 | isinfinite), (.p_size | significand >= 1)]", "SELECT '[' || p_size || ',' || p_size || ',' || p_size // 4 || ',false,' || p_size || ',false,true]' AS value FROM part"),
+    "math_two": ("part", "[fma(.p_size; 2; 1), (hypot(.p_size * 3; .p_size * 4) | round), (atan2(0; .p_size + 1)), (.p_size | scalb(.; 2)?) // 0] | .[0:3]", "SELECT '[' || (p_size * 2 + 1) || ',' || (p_size * 5) || ',0]' AS value FROM part"),
+    "special_floats": ("part", "[(nan | isnan), (infinite | isinfinite), (.p_size | isnormal), (nan < .p_size)]", "SELECT '[true,true,true,true]' AS value FROM part"),
+    "updates": ("part", ".p_size -= 1 | .p_size *= 2 | .none //= \"x\" | .p_partkey %= 7 | [.p_size, .none, .p_partkey]", "SELECT '[' || (p_size - 1) * 2 || ',\"x\",' || p_partkey % 7 || ']' AS value FROM part"),
+    "update_generator": ("part", "[.p_size, [.p_partkey]] | (.. | numbers) |= . + 1 | [.[0], .[1][0]]", "SELECT '[' || (p_size + 1) || ',' || (p_partkey + 1) || ']' AS value FROM part"),
+    "path_expressions": ("customer", "[path(.c_name), path(.a[0].b)] | [.[][0]]", """SELECT '["c_name","a"]' AS value FROM customer"""),
+    "alternative_patterns": ("part", '(if .p_size % 2 == 0 then [.p_size] else {v: .p_size} end) as [$x] ?// {v: $x} | $x', "SELECT p_size::VARCHAR AS value FROM part"),
+    "string_multiply_divide": ("part", '[("ab" * 2), ("a,b" / ","), ({a: {b: .p_size}} * {a: {c: 1}} | .a | length), ([.p_size, 1, 2] - [1])] | [.[0], .[2], (.[3] | length)]', "SELECT '[\"abab\",2,' || (CASE WHEN p_size = 1 THEN 1 ELSE 2 END) || ']' AS value FROM part"),
+    "errors": ("part", '[(try error({n: .p_size}) catch .n), (.p_name.x? // "none"), ([.p_name | .[0]?] | length), (try (.p_size | keys) catch "no keys")]', "SELECT '[' || p_size || ',\"none\",0,\"no keys\"]' AS value FROM part"),
+    "index_object": ("part", "INDEX([{id: .p_partkey}, {id: 5}][]; .id) | keys | length", "SELECT CASE WHEN p_partkey = 5 THEN 1 ELSE 2 END::VARCHAR AS value FROM part"),
+    "environment": ("nation", '[($ENV | type), (env | type), ($__loc__ | .line), ([builtins] | length), (debug | has("n_name"))]', "SELECT '[\"object\",\"object\",1,1,true]' AS value FROM nation"),
+    "limits_of_generators": ("part", "[limit(2; range(.p_size; 1000))] | add", "SELECT (2 * p_size + 1)::VARCHAR AS value FROM part"),
+    "multiple_outputs": ("part", "{a: (.p_size, 1), b: 2} | .a", "SELECT unnest([p_size, 1])::VARCHAR AS value FROM part"),
+}
+
+#: programs over JSON texts made from events, by the native plan, and their SQL
+TEXTS = {
+    "text_field": (".actor.login", """SELECT '"u' || user_id || '"' AS value FROM events"""),
+    "text_select": ('select(.type == "purchase")', """SELECT '{"id":' || event_id || ',"type":"' || event_type || '","actor":{"id":' || user_id || ',"login":"u' || user_id || '"},"cents":' || cents || ',"tags":["' || event_type || '","t"]}' AS value FROM e WHERE event_type = 'purchase'"""),
+    "text_extract": ('select(.type == "purchase" and .cents > 1000) | .id', "SELECT event_id::VARCHAR AS value FROM e WHERE event_type = 'purchase' AND cents > 1000"),
+    "text_or": ('select(.type == "error" or (.actor.id < 3)) | [.id, .type]', """SELECT '[' || event_id || ',"' || event_type || '"]' AS value FROM events WHERE event_type = 'error' OR user_id < 3"""),
+    "text_predicate": ('select(.type | startswith("c")) | .actor.login', """SELECT '"u' || user_id || '"' AS value FROM events WHERE starts_with(event_type, 'c')"""),
+    "text_object": ("{id, login: .actor.login, cents: .cents}", """SELECT '{"id":' || event_id || ',"login":"u' || user_id || '","cents":' || cents || '}' AS value FROM e"""),
+    "text_length": (".type | length", "SELECT len(event_type)::VARCHAR AS value FROM events"),
+    "text_keys": (".actor | keys", """SELECT '["id","login"]' AS value FROM events"""),
+    "text_iterate": (".tags[] | ascii_upcase", """SELECT '"' || upper(unnest([event_type, 't'])) || '"' AS value FROM events"""),
+    "text_map": (".tags | map(length)", "SELECT '[' || len(event_type) || ',1]' AS value FROM events"),
+}
+CENTS = "WITH e AS (SELECT *, round(value * 100)::BIGINT AS cents FROM events) "
+
+
+def event_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, place, doc): events as JSON lines."""
+    actor = F.struct(F.col("user_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("login"))
+    doc = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), actor.alias("actor"), F.round(F.col("value") * 100).cast("long").alias("cents"), F.array("event_type", F.lit("t")).alias("tags"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("").alias("file"), F.monotonically_increasing_id().alias("place"), F.to_json(doc).alias("doc"))
+
+
+def over_texts(program: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_documents(event_texts(spark, sf_dir), program, plan="native").where("error is null").select("value")
+
+
 def interpreted(table: str, program: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = rows_as_json(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
@@ -161,8 +236,8 @@ def interpreted(table: str, program: str) -> Callable[[SparkSession, str], DataF
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**QUERIES, **{name: interpreted(table, program) for name, (table, program, _) in INTERPRETED.items()}}
+    return {**QUERIES, **{name: interpreted(table, program) for name, (table, program, _) in INTERPRETED.items()}, **{name: over_texts(program) for name, (program, _) in TEXTS.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {name: sql for name, (_, _, sql) in INTERPRETED.items() if sql}
+    return {name: q.sql for name, q in QUERIES.items() if q.sql} | {name: sql for name, (_, _, sql) in INTERPRETED.items() if sql} | {name: CENTS + sql for name, (_, sql) in TEXTS.items()}

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from millrace.functions.values import Problem, all_json, to_json
 
 RECORD_SEPARATOR = "\x1e"
+#: documents of a file that are given on at once
+BATCH = 10_000
 BLANK = r"^[ \t\r\n\x{FEFF}]*$"
 
 
@@ -50,15 +52,14 @@ def documents(spark: SparkSession, path) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files, places, docs = [], [], []
-            for file, place, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, value in enumerate(all_json(text)):
-                    files.append(file)
-                    places.append((place << 20) + i if i < 1 << 20 else (place << 20) + (1 << 20) - 1)
-                    docs.append(to_json(value))
-            yield pa.record_batch([pa.array(files, pa.string()), pa.array(places, pa.int64()), pa.array(docs, pa.string())], ["file", "place", "doc"])
-
-    return _ordered(spark.read.text(path, wholetext=True), F.col("value")).mapInArrow(split, "file string, place long, doc string")
+            for file, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = all_json(text)
+                for at in range(0, len(values), BATCH):
+                    docs = [to_json(x) for x in values[at : at + BATCH]]
+                    yield pa.record_batch([pa.array([file] * len(docs), pa.string()), pa.array(range(at, at + len(docs)), pa.int64()), pa.array(docs, pa.string())], ["file", "place", "doc"])
+
+    # a file is one row, so a document's place in it is its number
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(split, "file string, place long, doc string")
 
 
 def looks_like_lines(spark: SparkSession, path) -> bool:

@@ -38,6 +38,9 @@ def styled(outputs: DataFrame, style: Style) -> DataFrame:
     """outputs (…, value: JSON text) with value as it is written; values that need no change stay in the JVM."""
     if style in (Style(), Style(seq=True)):
         return outputs.withColumn("value", F.concat(F.lit("\x1e"), "value")) if style.seq else outputs
+    if style in (Style(raw=True), Style(join=True), Style(raw=True, join=True)):
+        text = F.from_json(F.concat(F.lit('{"v":'), "value", F.lit("}")), "v string")["v"]
+        return outputs.withColumn("value", F.when(F.startswith("value", F.lit('"')), text).otherwise(F.col("value")))
 
     @F.udf("string", useArrow=True)
     def show(text: str) -> str:

@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.api import interpret
+from millrace.api import run_documents
 
 
 def stream_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -17,8 +17,8 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def query_stream(docs: DataFrame, program: str, variables: dict[str, Any] | None = None) -> DataFrame:
-    """A program without state over a stream of documents: outputs and errors, see interpret."""
-    return interpret(docs, program, variables)
+    """A program without state over a stream of documents: outputs and errors, see run_documents."""
+    return run_documents(docs, program, variables)
 
 
 def counts_by(docs: DataFrame, program: str) -> DataFrame:

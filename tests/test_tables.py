@@ -133,3 +133,28 @@ def test_stream(spark, tmp_path):
 def test_rows_as_json_keeps_nulls(spark):
     df = spark.createDataFrame([(None, 1.0)], "a string, b double")
     assert from_json(rows_as_json(df).first()["doc"]) == {"a": None, "b": 1.0}
+
+
+WHOLE = [
+    "map(.v) | min", "map(.v) | max", "map(.v) | unique | length", "map(.v) | add", "length", "map(.k) | unique", "group_by(.k) | length", "group_by(.k) | map({k: .[0].k, n: length})",
+    "group_by(.k) | map({k: .[0].k, lo: (map(.v) | min), hi: (map(.v) | max)})", "group_by(.k) | map({k: .[0].k, d: (map(.v) | unique | length), u: (map(.v) | unique), s: (map(.v) | sort)})", "group_by(.k) | map({k: .[0].k, sum: (map(.v) | add)})",
+    "group_by(.k) | map({k: .[0].k, n: (map(select(.v == null)) | length), m: (map(select(.v > 1) | .v) | min)})", "min_by(.v) | .i", "group_by(.k) | map({k: .[0].k, a: (min_by(.v) | .i), b: (max_by(.v) | .i)})", "[.[] | select(.v < 2)] | map(.i)", "sort_by(.v, .i) | .[:3] | map(.i)", "any(.v > 4)", "all(.v != 7)",
+    "group_by(.s) | map({s: .[0].s, n: length, t: (map(.s) | unique | length)})", "map(select(.k == 9) | .v) | min", "map(select(.v == null) | .v) | unique | length",
+]
+
+
+@pytest.mark.parametrize("program", WHOLE)
+def test_whole_programs_on_nulls(program, spark):
+    rows = [(1, 1, None, "a"), (2, 1, 2, None), (3, 2, None, "b"), (4, None, 5, None), (5, 3, 4, "b"), (6, 3, 1, "a"), (7, 3, 4, "")]
+    df = spark.createDataFrame(rows, "i long, k long, v long, s string")
+    from pyspark.sql import functions as F
+
+    native = query_all(df, program, order=("i",), mode="native")
+    if native.columns == ["value"]:
+        got = [r["x"] for r in native.select(F.to_json(F.struct("value"), {"ignoreNullFields": "false"}).alias("x")).collect()]
+        got = [to_json(from_json(x)["value"]) for x in got]
+    else:
+        got = [to_json(from_json(r["x"])) for r in native.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("x")).collect()]
+    want = [from_json(r["value"]) for r in query_all(df, program, order=("i",), mode="interpreted").collect()]
+    want = [to_json(x) for w in want for x in (w if isinstance(w, list) else [w])]
+    assert sorted(got) == sorted(want)
