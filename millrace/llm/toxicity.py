@@ -13,7 +13,6 @@ pass without shuffle. Words are projected once and remembered, within a bound.
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import alone, slices, texts
+from millrace.llm.shingles import M1, mixed
 
 #: bounds of the training sample
 POSITIVES, NEGATIVES = 3000, 5000
@@ -34,6 +34,11 @@ WORD_CHARS = 24
 EMBED, HIDDEN, ATTEND, VOCAB, MIN_DOCS, CHAR_BUCKETS = 12, 12, 12, 20_000, 3, 1 << 13
 WORDS, PART = 250_000, 25_000
 EPOCHS, BATCH, RATE = 7, 128, 0.01
+#: windows that are read together
+MANY = 512
+STEPS_OF_WINDOW = np.arange(WINDOW)
+#: of the update, reset and new gates: see infer
+SCALE = np.repeat(np.array([-1, -1, 2], np.float32), HIDDEN)
 #: small samples are gone over more often, until there were about STEPS steps, up to MOST_EPOCHS times
 STEPS, MOST_EPOCHS = 400, 40
 
@@ -50,11 +55,38 @@ def bare(word: str) -> str:
     return word.strip(".,;:!?\"'()[]*#$%&|<>") or word
 
 
-def char_ids(word: str) -> list[int]:
-    """Buckets of the first four and six bytes, then of the trigrams of bytes."""
-    b = b"^%b$" % word.encode("utf-8", "replace")
-    crc = zlib.crc32
-    return [crc(b[:5]) % CHAR_BUCKETS, crc(b[:7]) % CHAR_BUCKETS, *[crc(b[i : i + 3]) % CHAR_BUCKETS for i in range(len(b) - 2)]]
+def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all words one after the other, number of each): of the first four and six bytes, then of the trigrams of bytes."""
+    raw = [b"^%b$" % w.encode("utf-8", "replace") for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    start = np.cumsum(size) - size
+    data = np.frombuffer(b"".join(raw) + bytes(8), np.uint8).astype(np.uint64)
+    n = len(data) - 8
+    bucket = lambda x: (mixed(x * M1) % np.uint64(CHAR_BUCKETS)).astype(np.int64)
+    begin = np.zeros(len(raw), np.uint64)
+    for j in range(7):
+        begin |= np.where(size > j, data[start + j], np.uint64(0)) << np.uint64(8 * (7 - j))
+    trigrams = bucket((data[:n] << np.uint64(16)) | (data[1 : n + 1] << np.uint64(8)) | data[2 : n + 2])
+    many = size  # two prefixes and size - 2 trigrams
+    out = np.empty(n, np.int64)
+    out[start], out[start + 1] = bucket(begin & ~np.uint64((1 << 24) - 1)), bucket(begin | np.uint64(1))
+    inside = np.arange(n) - np.repeat(start, many)
+    out[inside >= 2] = trigrams[inside < np.repeat(many - 2, many)]
+    return out, many
+
+
+class Inputs:
+    """What the network sees of a list of words: their vocabulary ids and character buckets."""
+
+    def __init__(self, words: list[str], vocab: dict[str, int]):
+        self.ids = np.array([vocab.get(w, 0) for w in words], np.int64)
+        self.flat, self.sizes = char_buckets(words)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = self.sizes[which]
+        at = np.repeat(self.first[which] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        return self.ids[which], self.flat[at], sizes
 
 
 def windows(n: int) -> list[int]:
@@ -80,21 +112,62 @@ class Network:
             self.p |= {f"wx{d}": normal(0.2, 2 * EMBED, 3 * HIDDEN), f"bx{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": normal(0.2, HIDDEN, 3 * HIDDEN)}
         self.p |= {"wa": normal(0.3, 2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": normal(0.3, ATTEND), "wo": normal(0.3, 2 * HIDDEN), "bo": np.full(1, -2, np.float32)}
 
-    def embed(self, words: list[str], known: dict[str, list[int]] | None = None) -> tuple[np.ndarray, tuple]:
-        """Inputs of words; known: their character buckets, if they are at hand."""
-        ids = np.array([self.vocab.get(w, 0) for w in words], np.int64)
-        chars = [known[w] for w in words] if known else [char_ids(w) for w in words]
-        sizes = np.fromiter(map(len, chars), np.int64, len(chars))
-        flat = np.fromiter((c for x in chars for c in x), np.int64, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    def embed(self, ids: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(inputs of words, weights of their character buckets)."""
+        starts = np.cumsum(sizes) - sizes
         # prefixes count fully, trigrams by their mean
         weight = np.repeat(1 / np.maximum(sizes - 2, 1), sizes).astype(np.float32)
         weight[starts] = weight[starts + 1] = 1
-        return np.hstack((self.p["words"][ids], np.add.reduceat(self.p["chars"][flat] * weight[:, None], starts, axis=0))), (ids, flat, weight, sizes)
-
-    def project(self, words: list[str], known: dict[str, list[int]] | None = None) -> np.ndarray:
-        x, _ = self.embed(words, known)
-        return np.hstack((x @ self.p["wxf"] + self.p["bxf"], x @ self.p["wxb"] + self.p["bxb"]))
+        return np.hstack((self.p["words"][ids], np.add.reduceat(self.p["chars"][flat] * weight[:, None], starts, axis=0))), weight
+
+    def tables(self, words: Inputs) -> np.ndarray:
+        """Gates of both directions by word (2 x words x 3 hidden), scaled for infer; word 0 pads."""
+        x, _ = self.embed(words.ids, words.flat, words.sizes)
+        return np.stack([(x @ self.p[f"wx{d}"] + self.p[f"bx{d}"]) * SCALE for d in "fb"])
+
+    def infer(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of windows, as forward gives them; ids: steps x batch, rows of table, 0 where there is no word.
+
+        Gates come scaled by -1, -1 and 2, so that every sigmoid and tanh is one exponential; both directions go together.
+        """
+        p, (steps, batch), full = self.p, ids.shape, bool(ids.all())
+        u = np.stack((p["uf"], p["ub"])) * SCALE
+        mask = None if full else (ids > 0).astype(np.float32)
+        h, g = np.zeros((2, batch, HIDDEN), np.float32), np.empty((2, batch, 3 * HIDDEN), np.float32)
+        out = np.empty((steps, batch, 2 * HIDDEN), np.float32)
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                np.take(table[0], ids[t], axis=0, out=g[0], mode="clip")
+                np.take(table[1], ids[-1 - t], axis=0, out=g[1], mode="clip")
+                hu = h @ u
+                zr = g[:, :, : 2 * HIDDEN] + hu[:, :, : 2 * HIDDEN]
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                n = hu[:, :, 2 * HIDDEN :] * zr[:, :, HIDDEN:]
+                n += g[:, :, 2 * HIDDEN :]
+                np.exp(n, out=n)
+                n += 1
+                np.divide(-2, n, out=n)
+                n += 1
+                n -= h
+                n *= 1 - zr[:, :, :HIDDEN]
+                if not full:
+                    n[0] *= mask[t][:, None]
+                    n[1] *= mask[-1 - t][:, None]
+                h += n
+                out[t, :, :HIDDEN], out[-1 - t, :, HIDDEN:] = h[0], h[1]
+            e = out.reshape(-1, 2 * HIDDEN) @ (2 * p["wa"])
+            e += 2 * p["ba"]
+            np.exp(e, out=e)
+        e += 1
+        np.reciprocal(e, out=e)
+        s = (e @ (-2 * p["va"])).reshape(steps, batch)  # less a constant, which doesn't matter to attention
+        if not full:
+            s -= 1e4 * (1 - mask)
+        s -= s.max(axis=0)
+        np.exp(s, out=s)
+        return (s * (out @ p["wo"])).sum(axis=0) / s.sum(axis=0) + p["bo"][0]
 
     def read(self, gates: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """One direction. gates: steps x batch x 3 hidden, from the inputs; mask: steps x batch."""
@@ -179,7 +252,7 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     net = Network([w for w, n in sorted(in_docs.items(), key=lambda x: (-x[1], x[0]))[:VOCAB] if n >= MIN_DOCS], seed)
     index = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
     names = ["", *index]
-    buckets = {w: char_ids(w) for w in names}
+    words = Inputs(names, net.vocab)
     rows, owner = [], []
     for k, ws in enumerate(split):
         ids = np.zeros(max(WINDOW, len(ws)), np.int32)
@@ -194,10 +267,9 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
     for epoch in range(epochs):
         chosen = [first + (rng.random(len(docs)) * count).astype(np.int64)]
         if epoch >= epochs // 4:
-            table, logits = net.project(names, buckets), np.empty(len(rows), np.float32)
-            for at in range(0, len(rows), 1024):
-                ids = rows[at : at + 1024].T
-                logits[at : at + 1024] = net.forward(table[ids], (ids > 0).astype(np.float32))[0]
+            table, logits = net.tables(words), np.empty(len(rows), np.float32)
+            for at in range(0, len(rows), MANY):
+                logits[at : at + MANY] = net.infer(table, np.ascontiguousarray(rows[at : at + MANY].T))
             order = np.lexsort((-logits, owner))
             # a negative document is negative everywhere; a positive one only where it is worst
             chosen = [order[first], np.where(labels == 0, chosen[0], order[first])]
@@ -208,7 +280,8 @@ def fit(docs: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 0)
             ids, inverse = np.unique(rows[own].T, return_inverse=True)
             inverse = inverse.reshape(WINDOW, len(own))
             mask = (rows[own].T > 0).astype(np.float32)
-            x, (word, flat, weight, sizes) = net.embed([names[i] for i in ids], buckets)
+            word, flat, sizes = words.take(ids)
+            x, weight = net.embed(word, flat, sizes)
             wx, bx = np.hstack((net.p["wxf"], net.p["wxb"])), np.concatenate((net.p["bxf"], net.p["bxb"]))
             gates = (x @ wx + bx)[inverse]
             logit, cache = net.forward(gates, mask, keep=True)
@@ -233,52 +306,56 @@ class Scorer:
 
     def forget(self) -> None:
         self.known, self.raw = {}, {}
-        self.table, self.used = np.zeros((4096, 6 * HIDDEN), np.float32), 1
+        self.table, self.used = np.zeros((2, 4096, 3 * HIDDEN), np.float32), 1
 
     def ids(self, words: list[str]) -> list[int]:
         raw = self.raw
-        if new := [w for w in dict.fromkeys(words) if w not in raw]:
+        if new := set(words).difference(raw):
             if len(raw) + len(new) > 3 * WORDS or self.used + len(new) > WORDS:
                 self.forget()
-                raw, new = self.raw, list(dict.fromkeys(words))
-            stems = [bare(w) for w in new]
-            if fresh := [w for w in dict.fromkeys(stems) if w not in self.known]:
-                if self.used + len(fresh) > len(self.table):
-                    self.table = np.vstack((self.table, np.zeros((max(len(self.table), len(fresh)), 6 * HIDDEN), np.float32)))
-                self.table[self.used : self.used + len(fresh)] = self.net.project(fresh)
+                raw, new = self.raw, set(words)
+            stems = {w: bare(w) for w in new}
+            if fresh := list(set(stems.values()).difference(self.known)):
+                if self.used + len(fresh) > self.table.shape[1]:
+                    self.table = np.concatenate((self.table, np.zeros((2, max(self.table.shape[1], len(fresh)), 3 * HIDDEN), np.float32)), axis=1)
+                self.table[:, self.used : self.used + len(fresh)] = self.net.tables(Inputs(fresh, self.net.vocab))
                 self.known.update(zip(fresh, range(self.used, self.used + len(fresh)), strict=True))
                 self.used += len(fresh)
-            raw.update((w, self.known[s]) for w, s in zip(new, stems, strict=True))
-        return [raw[w] for w in words]
+            known = self.known
+            raw.update([(w, known[s]) for w, s in stems.items()])
+        return list(map(raw.__getitem__, words))
 
-    def scores(self, batch: list[str], many: int = 512) -> np.ndarray:
+    def scores(self, batch: list[str]) -> np.ndarray:
         """Of each text, the probability of its worst window; an empty text is one empty window."""
         out = np.full(len(batch), -np.inf)
-        held, owner = [], []
-
-        def flush() -> None:
-            mask = np.zeros((WINDOW, len(held)), np.float32)
-            gates = np.zeros((WINDOW, len(held), 6 * HIDDEN), np.float32)
-            for j, g in enumerate(held):
-                gates[: len(g), j], mask[: len(g), j] = g, 1
-            np.maximum.at(out, owner, self.net.forward(gates, mask)[0])
-            held.clear()
-            owner.clear()
-
-        for k, text in enumerate(batch):
-            words = words_of(text)
-            for part in range(0, max(len(words), 1), PART):  # a huge text's words are looked up by parts that overlap
-                some = words[part : part + PART + WINDOW]
-                ids = np.array(self.ids(some), np.int64)
-                for s in windows(len(ids)):
-                    held.append(self.table[ids[s : s + WINDOW]])
-                    owner.append(k)
-                    if len(held) >= many:
-                        flush()
-        if held:
-            flush()
+        split = [words_of(text) for text in batch]
+        parts = [(k, words[at : at + PART + WINDOW]) for k, words in enumerate(split) for at in range(0, max(len(words), 1), PART)]  # a huge text's parts overlap
+        while parts:
+            some, size = [], 0
+            while parts and (not some or size + len(parts[-1][1]) <= 4 * PART):
+                some.append(parts.pop())
+                size += len(some[-1][1])
+            self._score(some, out)
         return sigmoid(out)
 
+    def _score(self, parts: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        flat = np.array(self.ids([w for _, words in parts for w in words]), np.int32)
+        rows, owner, at = [], [], 0
+        for k, words in parts:
+            n = len(words)
+            if n < WINDOW:
+                rows.append(np.concatenate((flat[at : at + n], np.zeros(WINDOW - n, np.int32)))[None])
+            else:
+                rows.append(flat[at + np.array(windows(n))[:, None] + STEPS_OF_WINDOW])
+            owner.append(np.full(len(rows[-1]), k))
+            at += n
+        rows, owner = np.concatenate(rows), np.concatenate(owner)
+        short = rows[:, -1] == 0
+        for some in (np.flatnonzero(~short), np.flatnonzero(short)):  # full windows need no mask
+            for i in range(0, len(some), MANY):
+                own = some[i : i + MANY]
+                np.maximum.at(out, owner[own], self.net.infer(self.table, np.ascontiguousarray(rows[own].T)))
+
 
 @lru_cache(maxsize=1)
 def scorer(model: bytes) -> Scorer:
@@ -319,7 +396,11 @@ def load(model: bytes) -> Network:
 
 
 def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row; null counts as empty. Without a model (nothing to learn from) every score is 0."""
+    """(doc_id, score) for every row; null counts as empty. Without a model (nothing to learn from) every score is 0.
+
+    All words of a text of any length are read, in parts that overlap. Repeated rows repeat, other columns are
+    ignored, an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = alone(scorer)(model)
