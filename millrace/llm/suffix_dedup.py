@@ -5,9 +5,11 @@ in the same one). All such strings (windows) of the corpus are compared, in thre
 
 1. Anchors. Every window is assigned to the least-hashed K-gram inside it, so equal windows have equal
    anchors at equal offsets, and the windows of one anchor are consecutive. Per anchor only hashes
-   travel: of the K-gram, and of all the bytes its windows cover. Equal coverage makes all but the first
+   travel: of the K-gram, and two of all the bytes its windows cover. Equal coverage makes all but the first
    occurrence repeated outright; a task sends one row for each distinct coverage, so that a passage in a
    third of all documents costs each task one row. Anchors seen with one coverage only are finished.
+   Anchors that a sample shows with many coverages (a passage in ever new surroundings) would meet in
+   one task; of those the digests of all windows are dealt out by content instead.
 2. Suffix arrays. Anchors seen with several coverages (ends of passages, edited copies) need their bytes.
    They are cut from the documents, brought together by anchor, and sorted in bounded texts: suffixes
    smaller than their successors directly, the others induced from them by a scan of the buckets; then
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import held, release_memory, shuffle_partitions
+from millrace.llm.common import held, release_memory, shuffle_partitions, slices
 
 LENGTH, K = 100, 40
 SPAN = LENGTH - K + 1  # K-grams in a window
@@ -36,10 +38,12 @@ BLOCK = 1 << 18  # windows of a document that are treated at once
 FLUSH_ROWS = 600_000
 TEXT_BYTES = 1 << 20  # of one suffix array
 GROUP_ROWS = 10_000
+#: rows (or one in 500, if more) in which anchors with over GROUP_ROWS coverages are sought, how often those must show, and how many are told to all tasks
+SAMPLE_ROWS, HOT_SEEN, HOT_ANCHORS = 8000, 20, 1_000_000
 PARTITION_BYTES = 64 << 20
 NULL_ID = -(1 << 63)
 
-ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
+ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4"), ("n", "u1"), ("off", "u1")])
 DIGEST = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tag", "<i4"), ("at", "<u4")])
 M1, M2, M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -54,6 +58,11 @@ def byte_codes() -> np.ndarray:
     return mixed(np.arange(1, 257, dtype=np.uint64) * M1)
 
 
+@lru_cache(maxsize=1)
+def other_codes() -> np.ndarray:
+    return mixed(byte_codes() + M2)
+
+
 @lru_cache(maxsize=1)
 def powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base, and of its inverse, modulo 2^64."""
@@ -87,7 +96,7 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a block: K-gram hash, coverage hash, first window, number of windows, anchor's offset in the first window."""
+    """Of a block: K-gram hash, two coverage hashes, first window, number of windows, anchor's offset in the first window."""
     codes = byte_codes()[data]
     h = gram_hashes(codes)
     place = np.uint64((1 << 20) - 1)
@@ -95,11 +104,26 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, ...]:
     where = (least & place).astype(np.int64)  # ties go to the first
     first = np.flatnonzero(np.diff(where, prepend=-1))
     n = np.diff(first, append=len(where))
-    up, down = powers()
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])))
     end = first + n + LENGTH - 1
-    cover = mixed((sums[end] - sums[first]) * down[first] + n.astype(np.uint64) * M2)
-    return h[where[first]], cover, first, n, where[first] - first
+    cover = [mixed(x + n.astype(np.uint64) * M2) for x in spans_hashed(data, first, end)]
+    return h[where[first]], *cover, first, n, where[first] - first
+
+
+def spans_hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two polynomials of the bytes of each span."""
+    up, down = powers()
+    sums, out = np.zeros(len(data) + 1, np.uint64), []
+    for codes in (byte_codes(), other_codes()):
+        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
+        out.append((sums[end] - sums[start]) * down[start])
+    return out
+
+
+def window_digests(data: np.ndarray, n: int) -> np.ndarray:
+    """DIGEST rows (h and c) of the first n windows."""
+    rows, at = np.empty(n, DIGEST), np.arange(n)
+    rows["h"], rows["c"] = (mixed(x) for x in spans_hashed(data, at, at + LENGTH))
+    return rows
 
 
 def blocks(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -123,7 +147,7 @@ def once(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first occurrence of each (h, c), the other occurrences); a row that repeats a document is no occurrence of its own."""
     rows = in_order(rows, "h", "c")
     rows = rows[changes(rows, "h", "c", "doc", "tag", "at")]
-    new = changes(rows, "h", "c")
+    new = changes(rows, *(k for k in ("h", "c", "c2") if k in rows.dtype.names))
     return rows[new], rows[~new]
 
 
@@ -164,34 +188,63 @@ def to_owners(kind: int, rows: np.ndarray, owners: int) -> pa.RecordBatch:
     return batch_of(kind, owner[first], payload=[p.tobytes() for p in np.split(rows, first[1:])])
 
 
-def _anchor(owners: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            first, again = once(np.concatenate(parts))
-            yield to_owners(0, first, owners)
-            if len(again):
-                yield repeated(again, again["n"])
+def _anchor(owners: int, hot: np.ndarray):
+    """hot: sorted hashes of the anchors whose windows are sent as digests."""
 
-        parts, size = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def send(parts: list[np.ndarray], digests: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for kind, some in ((0, parts), (5, digests)):
+                if some:
+                    first, again = once(np.concatenate(some))
+                    yield to_owners(kind, first, owners)
+                    if len(again):
+                        yield repeated(again, again["n"] if kind == 0 else 1)
+
+        parts, digests, size = [], [], 0
         for batch in batches:
             for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 for at, block in blocks(data):
-                    h, c, first, n, off = anchors(block)
+                    h, c, c2, first, n, off = anchors(block)
                     rows = np.empty(len(h), ROW)
-                    rows["h"], rows["c"], rows["doc"], rows["tag"], rows["at"], rows["n"], rows["off"] = h, c, doc, tag, first + at, n, off
+                    rows["h"], rows["c"], rows["c2"], rows["doc"], rows["tag"], rows["at"], rows["n"], rows["off"] = h, c, c2, doc, tag, first + at, n, off
+                    if len(hot):
+                        known = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+                        for i in np.flatnonzero(known):
+                            some = window_digests(block[first[i] : first[i] + n[i] + LENGTH - 1], int(n[i]))
+                            some["doc"], some["tag"], some["at"] = doc, tag, first[i] + at + np.arange(n[i])
+                            digests.append(some)
+                            size += len(some)
+                        rows = rows[~known]
                     parts.append(rows)
                     size += len(rows)
-                if size >= FLUSH_ROWS:
-                    yield from send(parts)
-                    parts, size = [], 0
-        if parts:
-            yield from send(parts)
+                    if size >= FLUSH_ROWS:
+                        yield from send(parts, digests)
+                        parts, digests, size = [], [], 0
+        yield from send(parts, digests)
         release_memory()
 
     return run
 
 
+def hot_anchors(rows: DataFrame, n: int, group_rows: int) -> np.ndarray:
+    """Sorted hashes of anchors with over group_rows coverages in the n rows (doc, tag, data), by a sample; it decides only the way they take."""
+    if n <= group_rows:
+        return np.zeros(0, np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [anchors(block)[:2] for text in batch.column(2) for _, block in blocks(np.frombuffer(text.as_buffer(), np.uint8))]
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate([x[k] for x in found]).view(np.int64)) for k in (0, 1)], ["h", "c"])
+
+    share = min(1.0, max(SAMPLE_ROWS / n, 1 / 500))
+    some = rows.where(F.pmod(F.xxhash64("doc", "tag"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    counts = some.mapInArrow(run, "h long, c long").distinct().groupBy("h").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= max(HOT_SEEN, int(group_rows * share))).orderBy(F.desc("n"), "h").limit(HOT_ANCHORS)
+    return np.sort(found.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _payloads(batch: pa.RecordBatch, kind: int, dtype: np.dtype) -> list[np.ndarray]:
     kinds = batch.column(1).to_numpy()
     return [np.frombuffer(batch.column(7)[int(i)].as_buffer(), dtype) for i in np.flatnonzero(kinds == kind)]
@@ -203,11 +256,16 @@ def _pass(batch: pa.RecordBatch, kind: int) -> pa.RecordBatch:
 
 def _meet(group_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        got, digests = [], []
         for batch in batches:
             if (through := _pass(batch, 1)).num_rows:
                 yield through
             got += _payloads(batch, 0, ROW)
+            digests += _payloads(batch, 5, DIGEST)
+        if digests:
+            _, again = once(np.concatenate(digests))
+            if len(again):
+                yield repeated(again, 1)
         if not got:
             return
         first, again = once(np.concatenate(got))
@@ -244,12 +302,7 @@ def _cut(owners: int):
                 # off carries the owner; key is the anchor, by which snippets are brought together
                 yield pa.record_batch([pa.array(h[some]), pa.array(np.full(len(some), 4, np.int32)), pa.array(docs[some]), pa.array(tags[some]), pa.array(at[some]), pa.array(n[some]), pa.array(owner.astype(np.int32)), pa.array(cut, pa.binary())], NAMES)
             for i in np.flatnonzero(kind == 3):
-                data = byte_codes()[np.frombuffer(texts[row[i]], np.uint8)[int(at[i]) : int(at[i] + n[i]) + LENGTH - 1]]
-                up, down = powers()
-                rows = np.empty(int(n[i]), DIGEST)
-                for field, codes in (("h", data), ("c", mixed(data + M2))):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * up[: len(codes)])))
-                    rows[field] = mixed((sums[LENGTH:] - sums[:-LENGTH]) * down[: int(n[i])])
+                rows = window_digests(np.frombuffer(texts[row[i]], np.uint8)[int(at[i]) : int(at[i] + n[i]) + LENGTH - 1], int(n[i]))
                 rows["doc"], rows["tag"], rows["at"] = docs[i], tags[i], at[i] + np.arange(int(n[i]))
                 digests.append(rows)
                 size += len(rows)
@@ -417,9 +470,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     data = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(data).alias("tag"), data.cast("binary").alias("data"), F.struct(*[docs[c] for c in carry]).alias("row"))
-    total = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)), F.count("*")).first()
     owners = max(shuffle_partitions(spark), -(-total // PARTITION_BYTES))
-    met = held(rows.select("doc", "tag", "data").mapInArrow(_anchor(owners), SCHEMA).repartition(owners, "key").mapInArrow(_meet(group_rows), SCHEMA))
+    bare = rows.select("doc", "tag", "data")
+    met = held(bare.mapInArrow(_anchor(owners, hot_anchors(bare, n, group_rows)), SCHEMA).repartition(owners, "key").mapInArrow(_meet(group_rows), SCHEMA))
     dealt = rows.repartition(owners, "doc", "tag")
     wanted = met.where("kind in (2, 3)").groupBy("doc", "tag").agg(F.collect_list(F.struct(F.col("key").alias("h"), "kind", "at", "n")).alias("wanted"))
     cut = dealt.join(wanted.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "data", "wanted", "row").mapInArrow(_cut(owners), SCHEMA)
