@@ -28,7 +28,18 @@ class Rules:
     min_navigation_fields: int = 4
     #: share of the words' characters that failed lines may hold, in percent
     max_lost_percent: int = 50
-    boilerplate: tuple[str, ...] = ("all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "click here", "subscribe now", "sign in", "log in", "javascript", "lorem ipsum", "copyright", "licensed under", "share this", "read more")
+    #: a boilerplate phrase fails a line of at most so many word characters; in a longer one it is a mention
+    max_boilerplate_chars: int = 120
+    #: whole words, in lower case
+    boilerplate: tuple[str, ...] = (
+        "all rights reserved", "cookie policy", "privacy policy", "terms of service", "terms of use", "click here", "subscribe now", "sign in", "log in", "javascript", "lorem ipsum", "copyright", "licensed under", "share this", "read more",
+        "alle rechte vorbehalten", "datenschutzerklärung", "hier klicken", "weiterlesen", "jetzt anmelden", "tous droits réservés", "politique de confidentialité", "mentions légales", "cliquez ici", "lire la suite",
+        "todos los derechos reservados", "política de privacidad", "aviso legal", "haga clic aquí", "leer más", "tutti i diritti riservati", "informativa sulla privacy", "clicca qui", "leggi tutto",
+    )
+
+    def phrases(self) -> str:
+        """A pattern that Java and RE2 read alike, case aside."""
+        return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(self.boilerplate)})(?:$|[^\p{{L}}\p{{N}}])"
 
 
 def words_of(text: Column) -> Column:
@@ -61,10 +72,11 @@ def symbols(text: Column) -> Column:
 
 
 def line_fails(line: Column, rules: Rules = Rules()) -> Column:
-    """Of (text, chars, symbols): punctuation junk, navigation (short fields between separators), or a boilerplate phrase."""
+    """Of (text, chars, symbols): punctuation (symbol junk, or words without a letter or digit), navigation (short fields between separators), or a boilerplate phrase."""
     fields = F.size(F.split(line["text"], r"[|»›•]"))
-    phrases = "(?i)" + "|".join(rules.boilerplate)
-    return (line["symbols"] * 100 > line["chars"] * rules.max_line_symbol_percent) | (fields >= rules.min_navigation_fields) | line["text"].rlike(phrases)
+    empty = (line["chars"] > 0) & ~line["text"].rlike(r"[\p{L}\p{N}]")
+    boilerplate = (line["chars"] <= rules.max_boilerplate_chars) & line["text"].rlike("(?iu)" + rules.phrases())
+    return (line["symbols"] * 100 > line["chars"] * rules.max_line_symbol_percent) | empty | (fields >= rules.min_navigation_fields) | boilerplate
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -77,7 +89,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
 
 
 def clean(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
-    """The documents that are kept, with all their columns; their text is that of the lines that pass."""
+    """The documents that are kept, with all their columns; their text is that of the lines that pass.
+
+    Null and empty texts are rejected. Rows are judged alone, so repeated rows give repeated results; other
+    columns are carried along whatever their names; an empty table gives an empty result.
+    """
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     judged = _judged(docs.select(row, F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")), "row", rules)
     # a filter would be pushed below the counts and repeat them for every word; it isn't pushed through a generator

@@ -120,7 +120,8 @@ per_line AS (
     coalesce(sum(chars) FILTER (
       (len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) * 100 > chars * {_R.max_line_symbol_percent}
       OR len(regexp_extract_all(line, '[|»›•]')) + 1 >= {_R.min_navigation_fields}
-      OR regexp_matches(line, '(?i){"|".join(_R.boilerplate)}')), 0) AS lost
+      OR NOT regexp_matches(line, '[\p{{L}}\p{{N}}]')
+      OR chars <= {_R.max_boilerplate_chars} AND regexp_matches(line, '(?i){_R.phrases()}')), 0) AS lost
   FROM sized GROUP BY doc_id),
 base AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
