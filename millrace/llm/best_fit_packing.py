@@ -222,7 +222,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 def pack(pieces: DataFrame, n_docs: int, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to rows with (doc_id, piece, length); all their columns are carried along.
 
-    n_docs, the number of documents, sets the number of shards. Lengths outside 1..capacity are an error.
+    n_docs, the number of documents, sets the number of shards. Lengths outside 1..capacity are an error. Of equal lengths
+    the smaller (doc_id, piece) is placed first; repeated rows are placed each; an empty table gives an empty result.
     """
     shards = max(1, -(-n_docs // SHARD_DOCS))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import as_binary, slices, texts
+from millrace.llm.common import AFTER_LETTER, as_binary, slices, texts
 
 #: characters that are encoded at once
 PIECE_CHARS = 1 << 16
-SAFE = re.compile(r"(?<=[^\s])[ \n]")
+#: a place before a blank or line feed that follows a non-space, or between a letter and closing punctuation
+SAFE = re.compile(r"(?<=[^\s])(?=[ \n])|" + AFTER_LETTER.pattern)
 
 
 @lru_cache(maxsize=4)
@@ -47,7 +48,8 @@ def encode_text(coder, text: str) -> list[int]:
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) for every row; special tokens don't exist. Null and empty texts give an empty array."""
+    """(doc_id, ids array<int>) for every row; special tokens don't exist. Null and empty texts give an empty array, repeated rows
+    repeat, other columns are ignored, an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(rank_file, pattern)
@@ -61,7 +63,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
 
 
 def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """Adds decoded, the raw bytes of ids (doc_id, ids); an id without a rank is an error."""
+    """Adds decoded, the raw bytes of ids (doc_id, ids); an id without a rank is an error. Null ids give no bytes; repeated rows repeat; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(rank_file, pattern)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: White space of the word patterns: blank and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: a letter before white space or closing punctuation: a pre-token ends between them, and no special string holds such a place
+AFTER_LETTER = re.compile("(?<=[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])(?=[ \\n\\t,.;:!?\u3001\u3002\uff0c\uff01\uff1f])")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

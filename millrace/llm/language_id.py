@@ -109,7 +109,10 @@ def mixture(bucket: np.ndarray, counts: np.ndarray, model: np.ndarray, log_model
 
 
 def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, mixture map<string, double>) for every row; und, 0 and no mixture without letters or without a model."""
+    """(doc_id, lang_pred, score, mixture map<string, double>) for every row; und, 0 and no mixture without letters or without a model.
+
+    Ties go to the first language in order of name. Repeated rows repeat, other columns are ignored, an empty table gives an empty result.
+    """
     log_model = np.log(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import texts
+from millrace.llm.common import AFTER_LETTER, alone, texts
 
 CHUNK, BATCH_CHARS = 256, 1 << 22
 STATES, WORDS = 150_000, 200_000
@@ -255,16 +255,29 @@ class TokenCounter:
         return out
 
 
+def pieces(text: str, size: int) -> Iterator[str]:
+    """Cuts of about ``size`` characters at safe places; together they are the text."""
+    at = 0
+    while len(text) - at > size and (cut := AFTER_LETTER.search(text, at + size)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:]
+
+
 @lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) for every row; null and empty texts have none; other columns are ignored."""
+    """(doc_id, n_bytes, n_tokens, over_limit) for every row, repeated rows too.
+
+    Null and empty texts have no tokens. A text over BATCH_CHARS is counted in pieces that end at safe places.
+    Other columns are ignored; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path).counts
+        count = alone(counter)(tokenizer_path).counts
 
         def done(ids: list, held: list[str]) -> pa.RecordBatch:
             n = count(held)
@@ -273,6 +286,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, id_col
         ids, held, size = [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(text) > BATCH_CHARS:
+                    n = sum(count([x])[0] for x in pieces(text, BATCH_CHARS // 4))
+                    yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([len(text.encode())], pa.int64()), pa.array([n], pa.int64()), pa.array([n > limit], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                    continue
                 ids.append(doc)
                 held.append(text)
                 size += len(text)
