@@ -35,10 +35,12 @@ def ascii_lower(text):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset (tests) a local one is made."""
+    """The cluster names a shared folder in spark.checkpoint.dir; only where it is unset, and Spark is one process (tests), a local one is made."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", "")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "millrace-checkpoints"))
 
 

@@ -501,6 +501,19 @@ def test_packing_odd(odd):
     assert best_fit_packing.pack(pieces.where("false"), 0, 64).count() == 0
 
 
+def test_several_shards_stay_dense(spark, docs, monkeypatch):
+    monkeypatch.setattr(best_fit_packing, "SHARD_DOCS", 100)
+    got = own.packed(docs).collect()
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in places.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()] and sum(n for _, n in spans) <= 4096
+    least = -(-sum(r["length"] for r in got) // 4096)
+    assert len(places) <= 1.1 * least + 10
+
+
 # 9
 def test_quality_odd(odd):
     got = {(r["doc_id"], r["n_words"]): r for r in quality_rules.judge(odd).collect()}
