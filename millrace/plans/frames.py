@@ -342,6 +342,8 @@ def run_whole(w: Whole, steps: list[Node]) -> Whole | Rows:
             return run_whole(replace(w, rows=_through(w, inner), order=_after(w, inner)), rest)
         if first[0] == "foreach":
             return run_whole(running(w, first, inner), rest)
+        if first[0] == "bind" and first[1] == ("each", ("identity",)):
+            return run_whole(replace(w, rows=_with_each(w, first, inner), order=()), rest)
         if first[0] in ("index", "slice", "each"):
             tail = []
             while first[0] in ("index", "slice", "each") and first != ("each", ("identity",)):
@@ -351,6 +353,10 @@ def run_whole(w: Whole, steps: list[Node]) -> Whole | Rows:
                 return run_whole(replace(w, rows=_through(w, [*tail, *inner]), order=()), rest)
     if node[0] == "foreach":
         return joined_rest(running(w, node, []), rest)
+    if node[0] == "bind" and node[1] == ("each", ("identity",)):
+        return _with_each(w, node, rest)
+    if node[0] == "binary" and node[1] in ("+", "-") and (both := _two_tables(w, node)):
+        return run_whole(replace(w, rows=both, order=()), rest)
     if node[0] == "reduce":
         return reduced(w, node, rest)
     if node[0] == "slice" and node[1] == ("identity",):
@@ -370,6 +376,55 @@ def run_whole(w: Whole, steps: list[Node]) -> Whole | Rows:
     raise NotNative(node[0])
 
 
+@dataclass(frozen=True)
+class Elsewhere(Typed):
+    """The array itself, where a program goes over its rows by name; only the names may be used."""
+
+    def column(self) -> Column:
+        raise NotNative("the whole table beside its rows")
+
+    def get(self, name: str) -> Typed:
+        raise NotNative("the whole table beside its rows")
+
+
+def _with_each(w: Whole, node: Node, rest: list[Node]) -> Rows:
+    """.[] as $x | ...: names instead of the value; $t[] as $y joins another table, on what the selects after it say."""
+    if len(node[2]) != 1:
+        raise NotNative("alternative patterns")
+    out = Rows(w.rows.df, Elsewhere(None, T.NullType()), bound(node[2][0], w.rows.value, w.rows.scope))
+    steps = [*stages(node[3]), *rest]
+    while steps and steps[0][0] == "bind" and len(steps[0][2]) == 1 and steps[0][1][0] == "each" and steps[0][1][1][0] == "var" and steps[0][1][1][1] in (w.tables or {}):
+        _, source, patterns, body = steps[0]
+        other = w.tables[source[1][1]]
+        name = f"$with{len(out.df.columns)}"
+        df = out.df.crossJoin(other.select(F.struct(*[F.col(f"`{c}`") for c in other.columns]).alias(name)))
+        out = Rows(df, out.value, bound(patterns[0], Typed(F.col(f"`{name}`"), other.schema), out.scope))
+        steps = [*stages(body), *steps[1:]]
+    for s in steps:
+        out = step(out, s)
+    return out
+
+
+def _two_tables(w: Whole, node: Node) -> Rows | None:
+    """. + $t and . - $t for tables of the same columns: all rows, and the rows that t doesn't hold."""
+
+    def side(n: Node) -> Rows | None:
+        return w.rows if n == ("identity",) else of_table(w.tables[n[1]]) if n[0] == "var" and n[1] in (w.tables or {}) else None
+
+    a, b = side(node[2]), side(node[3])
+    if a is None or b is None:
+        return None
+    a, b = fixed(a), fixed(b)
+    kinds = [{f.name: f.dataType for f in t.df.schema.fields} for t in (a, b)]
+    if kinds[0] != kinds[1]:
+        raise NotNative("tables of different columns")
+    if node[1] == "+":
+        return replace(a, df=a.df.unionByName(b.df))
+    named = b.df.select(F.struct(*[F.col(f"`{c}`") for c in a.df.columns]).alias("$row")).distinct()
+    same = [F.col(f"`{c}`").eqNullSafe(F.col("`$row`").getField(c)) for c in a.df.columns]
+    return replace(a, df=a.df.join(named, same, "left_anti"))
+
+
 def joined_rest(out: Whole, rest: list[Node]) -> Rows:
     return _row_steps(replace(out.rows, df=out.rows.df.orderBy(*sorting(out.order))) if out.order else out.rows, rest)
 

@@ -26,13 +26,16 @@ class Query:
     #: columns to read, where a generic row would read more
     columns: tuple[str, ...] = field(default=())
     mode: str = "native"
+    #: other tables as a selection of their columns
+    renamed: dict[str, str] = field(default_factory=dict)
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         load = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         df = load(self.table)
         df = df.select(*self.columns) if self.columns else df
         if self.whole:
-            return query_all(df, self.program, tables={t: load(t) for t in self.tables}, order=self.order, mode=self.mode)
+            others = {t: spark.sql(self.renamed[t], **{t: load(t)}) if t in self.renamed else load(t) for t in self.tables}
+            return query_all(df, self.program, tables=others, order=self.order, mode=self.mode)
         return query(df, self.program, mode=self.mode)
 
 
@@ -123,6 +126,10 @@ QUERIES: dict[str, Query] = {
     "last_sorted": whole("supplier", "sort_by(.s_acctbal) | last | .s_acctbal", "SELECT max(s_acctbal) AS value FROM supplier"),
     "running": whole("events", "[foreach .[] as $e (0; . + $e.user_id; {id: $e.event_id, sum: .})]", "SELECT event_id AS id, (sum(user_id) OVER (ORDER BY event_id))::BIGINT AS sum FROM events", order=("event_id",)),
     "reduce": whole("events", 'reduce .[] as $e (0; if $e.event_type == "click" then . + $e.user_id else . end)', "SELECT coalesce(sum(user_id) FILTER (event_type = 'click'), 0)::BIGINT AS value FROM events"),
+    "union": whole("orders", ". + $orders | group_by(.o_orderstatus) | map({s: .[0].o_orderstatus, n: length})", "SELECT o_orderstatus AS s, 2 * count(*) AS n FROM orders GROUP BY 1", tables=("orders",)),
+    "difference": whole("nation", "[.[] | {k: .n_regionkey}] | . - $region", "SELECT n_regionkey AS k FROM nation WHERE n_regionkey > 2", tables=("region",), renamed={"region": "SELECT r_regionkey AS k FROM {region} WHERE r_regionkey <= 2"}),
+    "equi_join": whole("orders", "[.[] as $o | $customer[] as $c | select($o.o_custkey == $c.c_custkey and $c.c_acctbal < 0) | {o: $o.o_orderkey, name: $c.c_name}]", "SELECT o_orderkey AS o, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0", tables=("customer",)),
+    "theta_join": whole("nation", ".[] as $n | $region[] as $r | select($n.n_regionkey < $r.r_regionkey) | {n: $n.n_name, r: $r.r_name}", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey < r_regionkey", tables=("region",)),
     "nulls_min": whole("labels", "map(.toxic) | min", "SELECT CASE WHEN count(*) = count(toxic) THEN min(toxic) END AS value FROM labels"),
     "nulls_unique": whole("labels", "map(.toxic) | unique | length", "SELECT (count(DISTINCT toxic) + max((toxic IS NULL)::INT))::BIGINT AS value FROM labels"),
     "nulls_group": whole("labels", "group_by(.toxic) | map({t: .[0].toxic, n: length, q: (map(.quality) | add), least: (map(.quality) | min), kinds: (map(.quality) | unique | length)})", "SELECT toxic AS t, count(*) AS n, sum(quality)::BIGINT AS q, CASE WHEN count(*) = count(quality) THEN min(quality) END AS least, (count(DISTINCT quality) + max((quality IS NULL)::INT))::BIGINT AS kinds FROM labels GROUP BY 1"),

@@ -158,3 +158,15 @@ def test_whole_programs_on_nulls(program, spark):
     want = [from_json(r["value"]) for r in query_all(df, program, order=("i",), mode="interpreted").collect()]
     want = [to_json(x) for w in want for x in (w if isinstance(w, list) else [w])]
     assert sorted(got) == sorted(want)
+
+
+def test_set_operations_and_products_against_the_interpreter(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None), (3, "y")], "k long, s string")
+    b = spark.createDataFrame([(2, None), (3, "z")], "k long, s string")
+    for program in (". + $b | map(.k)", ". - $b | map(.k)", "$b - . | map(.s)", "[.[] as $x | $b[] as $y | select($x.k == $y.k) | {k: $x.k, s: $y.s}]", "[.[] as $x | $b[] as $y | select($x.k < $y.k) | $x.k + $y.k]"):
+        native = query_all(a, program, tables={"b": b}, mode="native")
+        got = [to_json(r.asDict() if len(native.columns) > 1 else r["value"] if "value" in native.columns else r[0]) for r in native.collect()]
+        want = [to_json(x) for x in from_json(query_all(a, program, tables={"b": b}, mode="interpreted").collect()[0]["value"])]
+        assert sorted(got) == sorted(want), program
+    with pytest.raises(NotNative):
+        query_all(a, "[.[] as $x | $b[] as $y | length]", tables={"b": b}, mode="native")
