@@ -34,6 +34,8 @@ FANOUT = 8
 CHUNK_ROWS, SEARCHES = 1 << 17, 256
 #: rows (or a hundredth, if more) in which common shingles are sought, how often they are seen there, and how many are told to all tasks
 SAMPLE_ROWS, COMMON_SEEN, COMMON = 8000, 3, 200_000
+#: partners of a row that the first round of near-duplicates tries; the second round misses none
+EARLY = 8
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -406,7 +408,13 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
     across = links.join(named("a"), "a").join(named("b"), "b").select("row_a", "row_b")
     within = single.join(first, "fp").select(F.col("row").alias("row_a"), F.col("first").alias("row_b"))
     pairs = across.unionByName(within).where("row_a <> row_b").select(F.greatest("row_a", "row_b").alias("a"), F.least("row_a", "row_b").alias("b")).distinct()
-    early = verified(checkpointed(pairs, few)).unionByName(equal)
+
+    def some_of(pairs: DataFrame, many: int) -> DataFrame:
+        """Of each row's partners so many, drawn by hash."""
+        order = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))
+        return checkpointed(pairs.withColumn("k", order).where(F.col("k") <= many).select("a", "b"), few)
+
+    early = verified(some_of(pairs, EARLY)).unionByName(equal)
     joined = components(early).select(F.col("node").alias("row"), "root")
     left = rows.select("row", "text").join(gone, "row", "left_anti")
     left = left.join(bounded(joined, 2 * early.count(), 32), "row", "left").select("row", "text", F.coalesce("root", "row").alias("root"))
@@ -414,8 +422,7 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
     met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), "a long, b long").distinct()
     every, open_, many = early, checkpointed(met, few), 2
     while not open_.isEmpty():
-        first_ones = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-        tried = checkpointed(open_.withColumn("k", first_ones).where(F.col("k") <= many).select("a", "b"), few)
+        tried = some_of(open_, many)
         every = every.unionByName(verified(tried))
         joined = held(components(every))
         root_of = lambda side: bounded(joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), joined.count(), 32)  # noqa: E731,B023
