@@ -291,15 +291,16 @@ def test_fast_reading_equals_the_plain_one():
         assert abs(got - toxicity.sigmoid(np.float64(plain(text)))) < 1e-4
 
 
-def test_toxicity_query_on_held_out_documents(spark, docs, texts):
-    got = {r["doc_id"]: r for r in own.QUERIES["op4_toxicity"](spark, DATA).collect()}
-    assert got.keys() == texts.keys() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+def test_toxicity_query_on_held_out_documents(spark):
+    larger = DATA.replace("sf0.01", "sf0.1")  # the smaller tables hold six such documents
+    got = {r["doc_id"]: r for r in own.QUERIES["op4_toxicity"](spark, larger).collect()}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["toxic"] is not None and r["doc_id"] in got}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect() if r["toxic"] is not None and r["doc_id"] in got}
     held = {i: t for i, t in labels.items() if got[i]["held_out"]}
     found = sum(got[i]["predicted"] for i, t in held.items() if t == 1)
     false = sum(got[i]["predicted"] for i, t in held.items() if t == 0)
-    assert found >= 0.6 * sum(held.values()) and false <= 0.1 * len(held)
+    assert found >= 0.7 * sum(held.values()) and false <= 0.03 * len(held)
 
 
 def test_toxicity_learns():
