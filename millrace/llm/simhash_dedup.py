@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bounded, checkpointed, few_files, held, release_memory, slices, texts
+from millrace.llm.common import as_binary, bounded, checkpointed, few_files, held, release_memory, slices, texts
 from millrace.llm.components import components
 from millrace.llm.shingles import majority, mixed, shingle_sets
 
@@ -34,8 +34,10 @@ FANOUT = 8
 CHUNK_ROWS, SEARCHES = 1 << 17, 256
 #: rows (or a hundredth, if more) in which common shingles are sought, how often they are seen there, and how many are told to all tasks
 SAMPLE_ROWS, COMMON_SEEN, COMMON = 8000, 3, 200_000
-#: partners of a row that the first round of near-duplicates tries; the second round misses none
+#: partners of a row that the first round of near-duplicates tries; the later ones miss none
 EARLY = 8
+#: places from a row, among a token's rows by size, to which likely links are sought before all pairs meet; bits of a set's parities; shared tokens told of a row
+REACH, PARITIES, TOLD = 256, 1024, 16
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -257,8 +259,13 @@ def _similar(shingle: int, least: float):
     return run
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """For each of PARITIES classes of hashes whether an odd number is in the set: two sets differ in at least as many hashes as bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(65 - PARITIES.bit_length())).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def _prints(shingle: int, seeds: tuple[int, ...]):
-    """(row, doc_id, 128 bits of the shingle set, fingerprint over distinct words for each seed) of (row, doc_id, text)."""
+    """(row, doc_id, 128 bits of the shingle set, fingerprint over distinct words for each seed, parities of the set) of (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -267,7 +274,9 @@ def _prints(shingle: int, seeds: tuple[int, ...]):
             own = [np.unique(words[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
             fps = [majority(mixed(w + np.uint64(seed))) for w in own for seed in seeds]
             digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x.tobytes()) for x in sets]), np.int64).reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.FixedSizeListArray.from_arrays(pa.array(np.array(fps, np.uint64).view(np.int64)), len(seeds)).cast(pa.list_(pa.int64()))], ["row", "doc_id", "s1", "s2", "fps"])
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.array(fps, np.uint64).view(np.int64)), len(seeds)).cast(pa.list_(pa.int64()))
+            odd = as_binary([parities(x) for x in sets])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests[:, 0]), pa.array(digests[:, 1]), lists, odd], ["row", "doc_id", "s1", "s2", "fps", "bits"])
         release_memory()
 
     return run
@@ -317,57 +326,142 @@ def _prefixes(shingle: int, least: float, common: np.ndarray):
     return run
 
 
-def _meetings(least: float):
-    """Streams prefix rows sorted by token. Out: all pairs (a, b) of a token, of different roots, that size and place allow to be similar."""
+def _by_token(flush):
+    """Streams prefix rows sorted by token; flush gets the columns of whole tokens: (token, row, root, shape), then where
+    they are given parities as words of 64 bits, and the first TOLD of the row's shared tokens by place, zeros after them."""
+
+    def columns(batch: pa.RecordBatch) -> tuple:
+        rows = tuple(batch.column(c).to_numpy() for c in range(4))
+        if batch.num_columns == 4:
+            return rows
+        bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        many = np.diff(batch.column(5).offsets.to_numpy())
+        told = np.zeros((batch.num_rows, TOLD), np.int64)
+        told[np.arange(TOLD) < many[:, None]] = batch.column(5).flatten().to_numpy()
+        return *rows, bits, told
 
-    def possible(x: tuple, y: tuple) -> Iterator[pa.RecordBatch]:
-        small, large = np.minimum(x[3] >> 32, y[3] >> 32), np.maximum(x[3] >> 32, y[3] >> 32)
-        left = np.minimum((x[3] >> 32) - (x[3] & 0xFFFFFFFF), (y[3] >> 32) - (y[3] & 0xFFFFFFFF))  # what may be shared from here on
-        keep = (x[2] != y[2]) & (small >= least * large - 1e-9) & (left * (1 + least) >= least * (small + large) - 1e-6)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            rows = columns(batch)
+            own = rows if own is None else tuple(np.concatenate(c) for c in zip(own, rows, strict=True))
+            if len(own[0]) >= (CHUNK_ROWS if len(own) == 4 else CHUNK_ROWS // 4) and own[0][0] != own[0][-1]:
+                open_ = own[0] == own[0][-1]
+                yield from flush(tuple(c[~open_] for c in own))
+                own = tuple(c[open_] for c in own)
+        if own is not None and len(own[0]):
+            yield from flush(own)
+
+    return run
+
+
+def _shared(least: float):
+    """Keeps (token, row, shape) of prefix rows whose token has a row of another root and of a size that allows to be similar."""
+
+    def flush(rows: tuple) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows[3], rows[0]))
+        token, row, root, shape = (c[order] for c in rows)
+        size, n = shape >> 32, len(token)
+        # rows of one token and root that follow each other by size: those beside them are the nearest in size of another root
+        first = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (root[1:] != root[:-1]))))
+        many = np.diff(first, append=n)
+        before, after = np.repeat(first - 1, many), np.repeat(first + many, many)
+        at = lambda i: np.clip(i, 0, n - 1)
+        keep = (before >= 0) & (token[at(before)] == token) & (size[at(before)] >= least * size - 1e-9)
+        keep |= (after < n) & (token[at(after)] == token) & (size >= least * size[at(after)] - 1e-9)
         if keep.any():
-            a, b = x[1][keep], y[1][keep]
-            yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+            yield pa.record_batch([pa.array(c[keep]) for c in (token, row, shape)], ["token", "row", "shape"])
 
-    def all_pairs(rows: tuple) -> Iterator[pa.RecordBatch]:
-        """Rows are sorted by token and size, so a partner that is too large ends a row's search."""
+    return _by_token(flush)
+
+
+def _meetings(least: float, reach: int | None = None):
+    """Streams prefix rows sorted by token. Out: all pairs (a, b) of a token, of different roots, that size, place and parities allow to be similar.
+
+    A pair of which the told tokens show where it meets first comes from there alone.
+    reach: no more than likely links that connect a token's roots, as far as they show in pairs so many places apart
+    by size. Their number is below that of the rows, and they need parities.
+    """
+
+    def possible(rows: tuple, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (x, left_x), (y, left_y) = ((rows[3][k] >> 32, (rows[3][k] >> 32) - (rows[3][k] & 0xFFFFFFFF)) for k in (i, j))
+        small, large, left = np.minimum(x, y), np.maximum(x, y), np.minimum(left_x, left_y)  # what may be shared from here on
+        keep = (rows[2][i] != rows[2][j]) & (small >= least * large - 1e-9) & (left * (1 + least) >= least * (small + large) - 1e-6)
+        i, j = i[keep], j[keep]
+        if len(rows) > 4 and len(i):
+            differ = np.bitwise_count(rows[4][i] ^ rows[4][j]).sum(axis=1, dtype=np.int64)
+            if reach is not None:  # hashes that differ, as so many odd classes let expect
+                differ = -PARITIES / 2 * np.log1p(-2 * np.minimum(differ, PARITIES // 2 - 1) / PARITIES)
+            keep = differ * (1 + least) <= (1 - least) * (small[keep] + large[keep]) + 1e-6
+            i, j = i[keep], j[keep]
+        return i, j
+
+    def first_met(rows: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Both rows' told tokens are in the one order of prefixes, so the first in both is where the pair meets first."""
+        x, y = rows[5][i], rows[5][j]
+        both = ((x[:, :, None] == y[:, None, :]) & (x != 0)[:, :, None]).any(axis=2)
+        return ~both.any(axis=1) | (x[np.arange(len(x)), both.argmax(axis=1)] == rows[0][i])
+
+    def out(rows: tuple, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(i), 1 << 14):
+            some, other = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            if len(rows) > 4 and reach is None:
+                keep = first_met(rows, some, other)
+                some, other = some[keep], other[keep]
+            if len(some):
+                a, b = rows[1][some], rows[1][other]
+                yield pa.record_batch([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+    def steps(rows: tuple) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of pairs. Rows are sorted by token and size, so a partner that is too large ends a row's search."""
         token, size, i, step = rows[0], rows[3] >> 32, np.arange(len(rows[0])), 1
-        while len(i := i[i + step < len(token)]):
+        while (reach is None or step <= reach) and len(i := i[i + step < len(token)]):
             i = i[(token[i] == token[i + step]) & (size[i] >= least * size[i + step] - 1e-9)]
-            yield from possible(tuple(c[i] for c in rows), tuple(c[i + step] for c in rows))
+            yield i, i + step
             step += 1
 
+    def all_pairs(rows: tuple) -> Iterator[pa.RecordBatch]:
+        for i, j in steps(rows):
+            yield from out(rows, *possible(rows, i, j))
+
+    def forest(rows: tuple) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((rows[2], rows[0]))
+        token, root = rows[0][order], rows[2][order]
+        group = np.empty(len(order), np.int64)
+        group[order] = np.cumsum(np.concatenate(([False], (token[1:] != token[:-1]) | (root[1:] != root[:-1]))))
+        up = np.arange(len(order))
+        for i, j in steps(rows):
+            apart = up[group[i]] != up[group[j]]
+            i, j = possible(rows, i[apart], j[apart])
+            if len(i):
+                ends = np.sort(np.stack((up[group[i]], up[group[j]])), axis=0)
+                k = np.unique(ends, axis=1, return_index=True)[1]
+                yield from out(rows, i[k], j[k])
+                up = _join_up(up, group[i[k]], group[j[k]])
+
     def flush(rows: tuple) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((rows[3], rows[0]))
         rows = tuple(c[order] for c in rows)
         first = np.flatnonzero(np.diff(rows[0], prepend=rows[0][:1] - 1))
         many = np.diff(first, append=len(rows[0]))
         mixed = np.minimum.reduceat(rows[2], first) != np.maximum.reduceat(rows[2], first)
+        if reach is not None:
+            yield from forest(tuple(c[np.repeat(mixed, many)] for c in rows))
+            return
         large = np.zeros(len(rows[0]), bool)
         for k in np.flatnonzero(mixed & (many > 256)):  # the largest group's own pairs are left out, not just dropped
-            block = tuple(c[first[k] : first[k] + many[k]] for c in rows)
-            roots, counts = np.unique(block[2], return_counts=True)
-            inside = block[2] == roots[counts.argmax()]
-            most, others = tuple(c[inside] for c in block), tuple(c[~inside] for c in block)
-            for n in range(len(others[0])):
-                yield from possible(tuple(c[n : n + 1].repeat(len(most[0])) for c in others), most)
-            yield from all_pairs(others)
-            large[first[k] : first[k] + many[k]] = True
+            block = np.arange(first[k], first[k] + many[k])
+            roots, counts = np.unique(rows[2][block], return_counts=True)
+            inside = rows[2][block] == roots[counts.argmax()]
+            most, others = block[inside], block[~inside]
+            for n in others:
+                yield from out(rows, *possible(rows, np.repeat(n, len(most)), most))
+            yield from all_pairs(tuple(c[others] for c in rows))
+            large[block] = True
         small = np.repeat(mixed, many) & ~large
         yield from all_pairs(tuple(c[small] for c in rows))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
-            rows = tuple(batch.column(c).to_numpy() for c in range(4))
-            own = rows if own is None else tuple(np.concatenate(c) for c in zip(own, rows, strict=True))
-            if len(own[0]) >= CHUNK_ROWS and own[0][0] != own[0][-1]:
-                open_ = own[0] == own[0][-1]
-                yield from flush(tuple(c[~open_] for c in own))
-                own = tuple(c[open_] for c in own)
-        if own is not None and len(own[0]):
-            yield from flush(own)
-
-    return run
+    return _by_token(flush)
 
 
 def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (1, 2)) -> DataFrame:
@@ -379,10 +473,13 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
 
     Rows of equal sets are one. Candidates of a first round are pairs whose fingerprints over distinct
     words differ in at most max_bits bits for one of the seeds, one partner a block; it joins large
-    groups early. The second round meets texts of different groups in all shingles of their prefixes
-    (the rarest fifth, at 0.8), which similar sets must share. Each pair of both rounds that could still
-    join two groups is verified by its sets: first two partners of each text, then of what that leaves
-    open many times more, until nothing is open. Texts without words are similar to each other; an empty table gives an empty result.
+    groups early. Then texts of different groups meet in all shingles of their prefixes (the rarest
+    fifth, at 0.8), which similar sets must share: a second round proposes, for each shingle, likely
+    links that connect its texts, fewer than those are, and a third all pairs that are then still of
+    different groups, and whose sizes, places and parities allow the similarity. Each pair that could
+    still join two groups is verified by its sets: first two partners of each text, then of what
+    that leaves open many times more, until nothing is open. Texts without words are similar to each
+    other; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     few = few_files(spark)
@@ -396,7 +493,7 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
         checked = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
         return checkpointed(checked, few)
 
-    prints = held(rows.select("row", "doc_id", "text").mapInArrow(_prints(shingle, seeds), "row long, doc_id long, s1 long, s2 long, fps array<long>"))
+    prints = held(rows.select("row", "doc_id", "text").mapInArrow(_prints(shingle, seeds), "row long, doc_id long, s1 long, s2 long, fps array<long>, bits binary"))
     n = prints.count()
     least = prints.groupBy("s1", "s2").agg(F.min("row").alias("b"), F.max("row").alias("most")).where("b <> most").drop("most")
     equal = checkpointed(prints.join(least, ["s1", "s2"]).where("row <> b").select(F.col("row").alias("a"), "b"), few)
@@ -415,22 +512,28 @@ def near_rows(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bi
         return checkpointed(pairs.withColumn("k", order).where(F.col("k") <= many).select("a", "b"), few)
 
     early = verified(some_of(pairs, EARLY)).unionByName(equal)
-    joined = components(early).select(F.col("node").alias("row"), "root")
+    every, joined, tested = early, held(components(early)), None
+    root_of = lambda side: bounded(joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), joined.count(), 32)
     left = rows.select("row", "text").join(gone, "row", "left_anti")
-    left = left.join(bounded(joined, 2 * early.count(), 32), "row", "left").select("row", "text", F.coalesce("root", "row").alias("root"))
+    left = left.join(root_of("row"), "row", "left").select("row", "text", F.coalesce("root_row", "row").alias("root"))
     tokens = left.mapInArrow(_prefixes(shingle, similarity, common_shingles(rows.select("row", "text"), n, shingle)), "token long, row long, root long, shape long")
-    met = tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_meetings(similarity), "a long, b long").distinct()
-    every, open_, many = early, checkpointed(met, few), 2
-    while not open_.isEmpty():
-        tried = some_of(open_, many)
-        every = every.unionByName(verified(tried))
-        joined = held(components(every))
-        root_of = lambda side: bounded(joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), joined.count(), 32)  # noqa: E731,B023
-        left = open_.join(tried, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-        open_ = checkpointed(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few)
-        many *= 32
-    groups = components(every)
-    members = prints.select("row", "doc_id").join(bounded(groups, 2 * every.count(), 32), prints["row"] == groups["node"]).select("row", "doc_id", "root")
+    shared = held(tokens.repartition("token").sortWithinPartitions("token").mapInArrow(_shared(similarity), "token long, row long, shape long"))
+    by_place = F.slice(F.array_sort(F.collect_list(F.struct(F.col("shape").bitwiseAND(0xFFFFFFFF).alias("place"), "token"))), 1, TOLD)
+    told = held(shared.groupBy("row").agg(by_place["token"].alias("told")))
+    for reach in (REACH, None):
+        rooted = prints.select("row", "bits").join(root_of("row"), "row", "left").select("row", F.coalesce("root_row", "row").alias("root"), "bits")
+        meet = shared.join(rooted.join(told, "row"), "row").select("token", "row", "root", "shape", "bits", "told").repartition("token").sortWithinPartitions("token")
+        met = meet.mapInArrow(_meetings(similarity, reach), "a long, b long").distinct()
+        open_, many = checkpointed(met if tested is None else met.join(tested, ["a", "b"], "left_anti"), few), 2
+        while not open_.isEmpty():
+            tried = some_of(open_, many)
+            tested = tried if tested is None else tested.unionByName(tried)
+            every = every.unionByName(verified(tried))
+            joined = held(components(every))
+            left = open_.join(tried, ["a", "b"], "left_anti").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+            open_ = checkpointed(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), few)
+            many *= 32
+    members = prints.select("row", "doc_id").join(bounded(joined, joined.count(), 32), prints["row"] == joined["node"]).select("row", "doc_id", "root")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
     return members.join(best, "root").select("row", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("row") == F.col("best.row")).alias("kept"))
 

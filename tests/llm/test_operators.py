@@ -164,6 +164,31 @@ def test_meetings_of_a_large_block():
     assert got == {(j, i) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and root[i] != root[j] and allowed(i, j)}
 
 
+def test_meetings_do_not_grow_with_the_square_of_a_group():
+    rng = random.Random(6)
+    made = {}
+    for n in (60, 240):  # near copies of one text, about half of their pairs at 0.8, none linked yet
+        base = [f"w{k}" for k in range(150)]
+        texts = [" ".join(f"x{rng.random()}" if k in spots else w for k, w in enumerate(base)) for spots in (set(rng.sample(range(150), 2)) for _ in range(n))]
+        sets = simhash_dedup.shingle_sets(texts, 5)[0]
+        batch = pa.record_batch([pa.array(range(n), pa.int64()), pa.array(texts), pa.array(range(n), pa.int64())], ["row", "text", "root"])
+        tokens = pa.Table.from_batches(simhash_dedup._prefixes(5, 0.8, np.zeros(0, np.uint64))(iter([batch]))).sort_by("token")
+        shared = pa.Table.from_batches(simhash_dedup._shared(0.8)(iter(tokens.combine_chunks().to_batches())))
+        told = {}
+        for token, row, shape in sorted(zip(*[c.to_pylist() for c in shared.columns], strict=True), key=lambda r: r[2] & 0xFFFFFFFF):
+            told.setdefault(row, []).append(token)
+        rows = shared.column("row").to_pylist()
+        columns = [shared.column("token"), shared.column("row"), shared.column("row"), shared.column("shape"), pa.array([simhash_dedup.parities(sets[r]) for r in rows]), pa.array([told[r][: simhash_dedup.TOLD] for r in rows], pa.list_(pa.int64()))]
+        full = pa.table(columns, ["token", "row", "root", "shape", "bits", "told"]).combine_chunks()
+        count = lambda run, table: [tuple(p) for b in run(iter(table.to_batches())) for p in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        likely, every, plain = count(simhash_dedup._meetings(0.8, simhash_dedup.REACH), full), count(simhash_dedup._meetings(0.8), full), count(simhash_dedup._meetings(0.8), full.select(["token", "row", "root", "shape"]))
+        similar = {(i, j) for i in range(n) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+        assert similar <= set(every) <= set(plain) and len(every) < len(plain) / 2
+        assert len(likely) < len(rows) and set(likely) <= set(plain)
+        made[n] = len(plain)
+    assert made[240] > 10 * made[60]  # all pairs of each token do grow with the square
+
+
 @pytest.mark.parametrize("n_words", [100, 300])
 def test_near_duplicates_by_appended_cut_and_inserted_passages(spark, n_words):
     rng = random.Random(n_words)
