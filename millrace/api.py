@@ -103,7 +103,7 @@ def query(df: DataFrame, program: str, variables: dict[str, Any] | None = None,
         except NotNative:
             if mode == "native":
                 raise
-    return interpret(rows_as_json(df), program, variables, paths).where("error is null").select("value")
+    return interpret(rows_as_json(df, deal=True), program, variables, paths).where("error is null").select("value")
 
 
 def query_all(df: DataFrame, program: str, variables: dict[str, Any] | None = None, tables: dict[str, DataFrame] | None = None, order: Iterable[str] = (), mode: str = "auto") -> DataFrame:

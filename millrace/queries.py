@@ -236,7 +236,7 @@ def over_texts(program: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def interpreted(table: str, program: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = rows_as_json(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        docs = rows_as_json(spark.read.parquet(f"{sf_dir}/{table}.parquet"), deal=True)
         return interpret(docs, program).where(F.col("error").isNull()).select("value")
 
     return run

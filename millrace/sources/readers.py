@@ -16,6 +16,8 @@ from millrace.functions.values import Problem, all_json, to_json
 RECORD_SEPARATOR = "\x1e"
 #: documents of a file that are given on at once
 BATCH = 10_000
+#: tasks that rows are dealt to, at least
+TASKS_A_CORE = 4
 BLANK = r"^[ \t\r\n\x{FEFF}]*$"
 
 
@@ -81,8 +83,14 @@ def read_json(spark: SparkSession, path, mode: str = "auto") -> DataFrame:
     return readers[mode](spark, path)
 
 
-def rows_as_json(df: DataFrame) -> DataFrame:
-    """A table's rows as documents; nulls are kept as nulls."""
+def rows_as_json(df: DataFrame, deal: bool = False) -> DataFrame:
+    """A table's rows as documents; nulls are kept as nulls. deal spreads them over all cores, in their order."""
     options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"}
     columns = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.select(F.lit("").alias("file"), F.monotonically_increasing_id().alias("place"), F.to_json(columns, options).alias("doc"))
+    rows = df.select(F.monotonically_increasing_id().alias("place"), columns.alias("row"))
+    if deal:
+        # a row group of a file is read by one task, and may hold a million rows
+        spark = df.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+        rows = rows.repartitionByRange(tasks, "place").sortWithinPartitions("place")
+    return rows.select(F.lit("").alias("file"), "place", F.to_json("row", options).alias("doc"))
