@@ -40,3 +40,13 @@ def test_an_update_leaves_values_that_are_held_twice():
     (got,) = evaluate("(.a.b, .a, .a.o.b) |= {b: 1, o: ., p: .}", {"a": {"b": 0}})
     first = {"b": 1, "o": 0, "p": 0}
     assert got == {"a": {"b": 1, "o": {"b": {"b": 1, "o": first, "p": first}}, "p": {"b": first}}}
+
+
+def test_walk_builds_each_container_once(monkeypatch):
+    copies = []
+    put = interpreter.put
+    monkeypatch.setattr(interpreter, "put", lambda v, k, new: copies.append(k) or put(v, k, new))
+    given = {"a": [1, {"b": 2}, "x"], "c": None}
+    assert evaluate('walk(if type == "number" then . + 1 elif . == null then empty else . end)', given) == [{"a": [2, {"b": 3}, "x"]}]
+    assert evaluate("[path(walk(.))]", "scalar") == [[[]]]
+    assert not copies and given["c"] is None and given["a"][0] == 1
